@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibspark.llm import encode, leakage, skeleton, spam, survivorship
+from bibspark.llm import encode, leakage, names, skeleton, spam, survivorship
 from bibspark.runtime import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.variant_pairs(table(spark, d, "publication_authors"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return survivorship.survivors(table(spark, d, "publications"), table(spark, d, "links"))
 
@@ -40,7 +44,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p5_found, p5_name_groups, p7_ids, p8_found, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p5_found, p5_name_groups, p7_ids, p8_found, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:

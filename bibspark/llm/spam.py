@@ -2,12 +2,12 @@
 
 Per post, six features of its own text (quotes and signature taken off):
 density of links and of tags, share of function words, entropy of the words,
-their repetition, and words per clause of a sentence. Per language, location
+their repetition, and the share of it that is no sentence. Per language, location
 and scale are medians and median deviations over all posts, and the shape is
 the correlation of winsorised scores, so spam does not move its own yardstick.
 A post is flagged if its robust Mahalanobis distance is an outlier's and its
-deviation points in a spam-directed direction: few function words together
-with dense links, dense tags, or few words said over and over.
+deviation points in a spam-directed direction: few function words and hardly a
+sentence, together with dense links, dense tags, or few words over and over.
 
 The per-language statistics are aggregates in the JVM (six numbers and a 6x6
 matrix a language); only they reach the driver. Languages outside the known
@@ -44,9 +44,9 @@ FUNCTION_WORDS = {
 }
 _ALL_WORDS = frozenset(w for ws in FUNCTION_WORDS.values() for w in ws.split())
 LANGUAGES = tuple(FUNCTION_WORDS)
-FEATURES = ("links", "tags", "sparse", "evenness", "repeats", "lists")
+FEATURES = ("links", "tags", "sparse", "evenness", "repeats", "unsaid")
 # Smallest scale a feature may have: where most posts agree exactly, median deviations vanish.
-FLOORS = {"links": 0.02, "tags": 0.02, "sparse": 0.05, "evenness": 0.03, "repeats": 0.05, "lists": 0.05}
+FLOORS = {"links": 0.02, "tags": 0.02, "sparse": 0.05, "evenness": 0.03, "repeats": 0.05, "unsaid": 0.1}
 LEAST_WORDS = 12
 
 _QUOTED_LINE = re.compile(r"^[ \t]*(?:>|&gt;|\||»)")
@@ -59,6 +59,7 @@ _URL = re.compile(r"(?i)(?:https?|ftp)://[^\s\"'<>\[\]()]+|www\.[^\s\"'<>\[\]()]
 _HREF = re.compile(r"(?is)<a\b[^>]*>|\[url\b[^\]]*\]")
 _TAG = re.compile(r"(?is)</?[a-z][^<>]{0,400}>|\[/?[a-z*][^\[\]]{0,200}\]")
 _HASHTAG = re.compile(r"(?:^|(?<=[\s,;]))#\w+")
+_SENTENCE = regex.compile(r"[\p{Lu}¿¡][^.!?|#\n]{8,400}[.!?]+(?=[\s\"')*\]<]|$)")
 _WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}]+)?")
 _MACHINE = re.compile(r"\d{1,2}:\d{2}:\d{2}|\w+\[\d+\]|^\s*(?:for|if|elif|else|def|return|raise|import|while|try|except|class|select|public|static|int|var|let|const)\b.*[:;{()]\s*|[;{}]\s*$|[!=]=|->|\w\(\)|^\s*(?:at|File) \S+[(:]", re.I)
 
@@ -117,9 +118,9 @@ def features(text: str | None) -> tuple[float, ...] | None:
     entropy = -sum(c / n * math.log(c / n) for c in counts.values()) if n else 0.0
     evenness = 1 - (entropy / math.log(n) if n > 1 else 1.0)
     repeats = sum(c for c in counts.values() if c > 2) / n if n else 0.0
-    marks = sum(bare.count(c) for c in ",;|·•/")
-    lists = min(2.0, (marks + len(hashtags)) / max(1, len(spoken)) * 3)
-    return links, tags, sparse, evenness, repeats, lists
+    prose = sum(len(_WORD.findall(x)) for x in _SENTENCE.findall(bare) if not _ALL_WORDS.isdisjoint(_WORD.findall(comparison_key(x))))
+    unsaid = 1 - min(1.0, prose / max(1, len(_WORD.findall(bare)))) if spoken else 1.0
+    return links, tags, sparse, evenness, repeats, unsaid
 
 
 def language(lang: Column) -> Column:
@@ -183,7 +184,7 @@ def yardsticks(posts: DataFrame, winsor: float = 3.0, least_posts: int = 50) ->
     }
 
 
-def spam_posts(documents: DataFrame, cut_distance: float = 6.0, sparse_cut: float = 2.5, direction_cut: float = 3.0) -> DataFrame:
+def spam_posts(documents: DataFrame, cut_distance: float = 6.0, sparse_cut: float = 2.5, unsaid_cut: float = 3.5, direction_cut: float = 3.0) -> DataFrame:
     """doc_id, distance and kind (links, tags or keywords) of the posts flagged."""
     posts = cut(measured(documents))  # read several times below; the texts are not
     sticks = yardsticks(posts)
@@ -201,7 +202,7 @@ def spam_posts(documents: DataFrame, cut_distance: float = 6.0, sparse_cut: floa
                 link, tag, sparse, even, again = z[:, 0], z[:, 1], z[:, 2], z[:, 3], z[:, 4]
                 words = np.minimum(even, again) + np.maximum(0, sparse - sparse_cut)
                 most = np.argmax(np.stack([link, tag, words]), axis=0)
-                hit = (distance > cut_distance) & (sparse > sparse_cut) & (np.maximum.reduce([link, tag, words]) > direction_cut)
+                hit = (distance > cut_distance) & (sparse > sparse_cut) & (z[:, 5] > unsaid_cut) & (np.maximum.reduce([link, tag, words]) > direction_cut)
                 out.append(pd.DataFrame({"doc_id": part["doc_id"], "distance": distance, "kind": np.array(["links", "tags", "keywords"])[most]})[hit])
             yield pd.concat(out) if out else pd.DataFrame({"doc_id": [], "distance": [], "kind": []})
 
