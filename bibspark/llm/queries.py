@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibspark.llm import encode, leakage, names, skeleton, spam, survivorship
+from bibspark.llm import encode, leakage, names, nearrecords, skeleton, spam, survivorship
 from bibspark.runtime import table
 
 
@@ -19,6 +19,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return survivorship.survivors(table(spark, d, "publications"), table(spark, d, "links"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return nearrecords.record_pairs(table(spark, d, "publications"))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row per record with a near copy: its group and the group's size."""
+    g = nearrecords.groups(table(spark, d, "publications"))
+    return g.join(g.groupBy("component").agg(F.count("*").alias("members")), "component").select("id", "component", "members")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     titles = table(spark, d, "publications").select(F.col("id").alias("publication_id"), F.col("title").alias("text"))
     names = table(spark, d, "publication_authors").select("publication_id", F.col("name").alias("text"))
@@ -44,7 +54,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p5_found, p5_name_groups, p7_ids, p8_found, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_groups, p5_found, p5_name_groups, p7_ids, p8_found, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
