@@ -58,4 +58,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from bibspark.llm import oracle
+
+    return oracle.oracle_sql()

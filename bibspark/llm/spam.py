@@ -111,7 +111,8 @@ def features(text: str | None) -> tuple[float, ...] | None:
     # Lines of a log or of code lack function words too, but no keyword is what they are about.
     filled = [x for x in own.splitlines() if x.strip()]
     machine = sum(1 for x in filled if _MACHINE.search(x) and not _HREF.search(x)) / len(filled)
-    sparse = (1 - (len(spoken) - len(content)) / max(1, len(spoken)) if spoken else 1.0) * (1 - machine)
+    weight = 2 * len(urls)  # a link takes the room of some words
+    sparse = (1 - (len(spoken) - len(content)) / (len(spoken) + weight) if spoken else 1.0) * (1 - machine)
     basis = content or slugs
     counts = Counter(re.sub(r"\d+$", "", w) for w in basis)
     n = sum(counts.values())
@@ -119,7 +120,7 @@ def features(text: str | None) -> tuple[float, ...] | None:
     evenness = 1 - (entropy / math.log(n) if n > 1 else 1.0)
     repeats = sum(c for c in counts.values() if c > 2) / n if n else 0.0
     prose = sum(len(_WORD.findall(x)) for x in _SENTENCE.findall(bare) if not _ALL_WORDS.isdisjoint(_WORD.findall(comparison_key(x))))
-    unsaid = 1 - min(1.0, prose / max(1, len(_WORD.findall(bare)))) if spoken else 1.0
+    unsaid = 1 - min(1.0, prose / (len(_WORD.findall(bare)) + weight)) if spoken else 1.0
     return links, tags, sparse, evenness, repeats, unsaid
 
 
