@@ -13,8 +13,8 @@ that fits two entities equally well (an initial, say) stays by itself. Names
 seen so often without an id that chance cannot explain it are entities without
 id; the test uses the mean share of missing ids over all names that have one.
 
-Keys that very many names share are refined by the letters of the second token
-where both spell it out; nothing is capped.
+Keys that very many names share are refined by forms of the second token where
+both spell it out, forms that all spellings token_cost accepts share; nothing is capped.
 
 Defined results: null and blank names have no entity; repeated rows only add
 to a name's count; names that carry different four-digit numbers, or one and
@@ -61,6 +61,7 @@ FILLERS = frozenset("the of for and in at".split())
 HOT_KEY = 2000
 CHANCE = 0.003
 
+_VOWELS = str.maketrans("", "", "aeiou")
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+|\d+")
 
 
@@ -136,8 +137,7 @@ def token_cost(a: str, b: str) -> float:
     if best > 1 and shortest >= 3 and (b.startswith(a) or a.startswith(b)):
         best = 0.7 if shortest < longest - 1 else best
     if best > 2:
-        vowels = str.maketrans("", "", "aeiou")
-        if shortest >= 4 and a[0] == b[0] and a.translate(vowels) == b.translate(vowels):
+        if shortest >= 4 and a[0] == b[0] and a.translate(_VOWELS) == b.translate(_VOWELS):
             best = 1.5
         for nick, full in ((a, b), (b, a)):
             if 2 < len(nick) < 7 and any(full in formal(n) and slips(nick, n, 1) <= 1 for n in _like(nick)):
@@ -150,6 +150,24 @@ def _like(token: str) -> tuple[str, ...]:
     return tuple(n for n in NICKNAMES if len(n) > 2 and slips(token, n, 1) <= 1)
 
 
+def token_forms(token: str) -> set[str]:
+    """Forms of which two name tokens share one if token_cost takes them for the same, initials aside."""
+    forms = {token} | less_letters(token)
+    forms |= {f"^{token[:k]}" for k in range(3, len(token) + 1)}
+    if len(token) > 3:
+        forms.add(f"~{token[0]}{token.translate(_VOWELS)}")
+    return forms | {f"={f}" for n in (token, *(_like(token) if 2 < len(token) < 7 else ())) for f in (n, *formal(n))}
+
+
+def less_letters(token: str) -> set[str]:
+    """The token with up to two letters left out, one if it has two or three: within that many slips two share a form."""
+    out, last = set(), {token}
+    for _ in range(2 if len(token) > 3 else len(token) > 1):
+        last = {t[:k] + t[k + 1 :] for t in last for k in range(len(t))}
+        out |= last
+    return out
+
+
 def assign(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, int, list[int]]:
     """Cheapest one-to-one assignment of the tokens of a (no longer than b) to those of b.
 
@@ -206,7 +224,7 @@ def compare(left: str, right: str) -> tuple[int, float] | None:
 
 
 def index_keys(text: str) -> list[tuple[str, bool, list[str]]]:
-    """(key, whether the second token is spelled out, refined keys) of a name."""
+    """(key, whether the second token is spelled out, the spelled-out second tokens) of a name."""
     name = parse(text)
     tokens = list(dict.fromkeys(name.tokens))
     out: dict[tuple[str, bool], list[str]] = {}
@@ -221,15 +239,25 @@ def index_keys(text: str) -> list[tuple[str, bool, list[str]]]:
                 for letter in letters:
                     key = f"{name.number}|{form}|{letter}"
                     full = len(u) > 1
-                    refined = [f"{key}|{v}" for v in {u} | {u[:k] + u[k + 1 :] for k in range(len(u))} | set(formal(u))] if full else []
-                    out.setdefault((key, full), []).extend(refined)
+                    out.setdefault((key, full), []).extend([u] if full else [])
     if not out and tokens:  # nothing but initials and particles
-        out[(f"{name.number}|~{' '.join(sorted(tokens))}", True)] = [f"{name.number}|~{' '.join(sorted(tokens))}"]
+        out[(f"{name.number}|~{' '.join(sorted(tokens))}", True)] = [""]
     if len(name.joined) >= 8:  # parts written together or apart
-        out[(f"{name.number}|={name.joined[:3]}{name.joined[-3:]}", True)] = [f"{name.number}|={name.joined[:5]}", f"{name.number}|={name.joined[-5:]}"]
+        out[(f"{name.number}|={name.joined[:3]}{name.joined[-3:]}", True)] = [name.joined]
     return [(k, full, sorted(set(r))) for (k, full), r in out.items()]
 
 
+def refined_keys(key: str, seconds: list[str], asked: bool) -> set[str]:
+    """Keys of which two names under one key share one if compare can take their second tokens for the same.
+
+    A token that may be short for a longer one asks for it, and the longer one is asked: the two sides swap that."""
+    if "|=" in key:  # joined names are compared by slips alone
+        return {f"{key}|{v}" for u in seconds for v in {u} | less_letters(u)}
+    whole, part = ("?", "!") if asked else ("!", "?")
+    forms = {f if f[:1] != "^" else (whole if f[1:] == u else part) + f[1:] for u in seconds for f in token_forms(u)}
+    return {f"{key}|{v}" for v in forms}
+
+
 def name_table(rows: DataFrame) -> DataFrame:
     """name, pid (of the rows that have one), n rows and n rows without pid; partial sums first."""
     named = rows.filter("name_norm IS NOT NULL AND trim(name_norm) <> ''")
@@ -240,22 +268,32 @@ def name_table(rows: DataFrame) -> DataFrame:
 
 def candidate_pairs(names: DataFrame, hot: int = HOT_KEY) -> DataFrame:
     """left (a name without pid), right: distinct pairs that meet under a key."""
-    schema = "name string, loose boolean, key string, full boolean, refined array<string>"
+    schema = "name string, loose boolean, key string, full boolean, seconds array<string>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(n, loose, *k) for n, loose in zip(batch["name"], batch["loose"]) for k in index_keys(n)]
-            yield pd.DataFrame(rows, columns=["name", "loose", "key", "full", "refined"])
+            yield pd.DataFrame(rows, columns=["name", "loose", "key", "full", "seconds"])
 
     keys = cut(names.select("name", F.col("pid").isNull().alias("loose")).mapInPandas(run, schema))
     sizes = keys.groupBy("key").agg(F.count("*").alias("size"), F.max("loose").alias("any_loose")).filter("any_loose AND size > 1")
     used = keys.join(sizes.select("key", (F.col("size") > hot).alias("hot")), "key")
-    left = used.filter("loose").select("key", F.col("name").alias("left"), F.col("full").alias("lf"), "hot", F.col("refined").alias("lr"))
-    right = used.select("key", F.col("name").alias("right"), F.col("full").alias("rf"), F.col("refined").alias("rr"), F.col("hot").alias("rh"))
-    plain = left.join(right.drop("rr", "rh"), "key").filter("NOT hot OR NOT lf OR NOT rf").select("left", "right")
+    left = used.filter("loose").select("key", F.col("name").alias("left"), F.col("full").alias("lf"), "hot")
+    right = used.select("key", F.col("name").alias("right"), F.col("full").alias("rf"))
+    plain = left.join(right, "key").filter("NOT hot OR NOT lf OR NOT rf").select("left", "right")
+    crowded = used.filter("hot AND full").select("name", "loose", "key", "seconds")
+
+    def refine(asked: bool, name: str):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = [(n, k) for n, key, seconds in zip(batch["name"], batch["key"], batch["seconds"]) for k in refined_keys(key, seconds, asked)]
+                yield pd.DataFrame(rows, columns=[name, "k"])
+
+        return run
+
     fine = (
-        left.filter("hot AND lf").select("left", F.explode("lr").alias("k"))
-        .join(right.filter("rh AND rf").select("right", F.explode("rr").alias("k")), "k")
+        crowded.filter("loose").mapInPandas(refine(True, "left"), "left string, k string")
+        .join(crowded.mapInPandas(refine(False, "right"), "right string, k string"), "k")
         .select("left", "right")
     )
     return plain.unionByName(fine).filter("left <> right").distinct()

@@ -64,3 +64,13 @@ def test_hot_keys_lose_nothing(spark):
     pairs = lambda hot: {tuple(r) for r in names.verified_pairs(names.candidate_pairs(table, hot)).select("left", "right").collect()}
     every = {(a, b) for a in [s[0] for s in spec[-3:]] for b in [s[0] for s in spec] if a != b and names.compare(a, b)}
     assert pairs(10_000) == pairs(3) == every
+
+
+CROWDED = SAME + [("valentina smith", "vlntina smith"), ("charles smith", "chuk smith"), ("charles smith", "chck smith"), ("benjamin smith", "benj smith"), ("alexander smith", "alxeandre smith"), ("kavaxton minjun", "kavaxtonminjxun"), ("robert smith", "bobb smith")]
+
+
+def test_hot_keys_keep_every_spelling(spark):
+    rows = [(f"{a}", f"{k}", 2) for k, (a, _) in enumerate(CROWDED)] + [(b, None, 1) for _, b in CROWDED]
+    table = names.name_table(spark.createDataFrame(rows_of(rows), "name_norm string, pid string, name string"))
+    pairs = lambda hot: {tuple(r) for r in names.verified_pairs(names.candidate_pairs(table, hot)).select("left", "right").collect()}
+    assert pairs(1) == pairs(10_000) and len(pairs(1)) >= len(CROWDED) - 3
