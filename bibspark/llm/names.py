@@ -23,6 +23,7 @@ none, never match; a name without letters matches only by its id.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -172,6 +173,8 @@ def assign(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, int, list[int
     """Cheapest one-to-one assignment of the tokens of a (no longer than b) to those of b.
 
     Gives its cost, how many full tokens met full tokens, and the tokens of b left over."""
+    if len(b) > 9:
+        return assign_long(a, b)
     states: dict[int, tuple[float, int]] = {0: (0.0, 0)}
     for x in a:
         following: dict[int, tuple[float, int]] = {}
@@ -191,6 +194,40 @@ def assign(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, int, list[int
     return cost, -full, [j for j in range(len(b)) if not used >> j & 1]
 
 
+def assign_long(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, int, list[int]]:
+    """The same in polynomial time (Hungarian method), for names of many tokens."""
+    never, n, m = 1e6, len(a), len(b)
+    # Of equally cheap assignments the one with more full tokens counts.
+    price = [[never if (c := token_cost(x, y)) >= 9 else c - 1e-6 * (len(x) > 1 and len(y) > 1) for y in b] for x in a]
+    u, v, taken, back = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        taken[0], j = i, 0
+        least, done = [math.inf] * (m + 1), [False] * (m + 1)
+        while taken[j]:
+            done[j], row, step, to = True, taken[j], math.inf, 0
+            for k in range(1, m + 1):
+                if not done[k]:
+                    if (c := price[row - 1][k - 1] - u[row] - v[k]) < least[k]:
+                        least[k], back[k] = c, j
+                    if least[k] < step:
+                        step, to = least[k], k
+            for k in range(m + 1):
+                if done[k]:
+                    u[taken[k]] += step
+                    v[k] -= step
+                else:
+                    least[k] -= step
+            j = to
+        while j:
+            taken[j] = taken[back[j]]
+            j = back[j]
+    pairs = [(a[taken[j] - 1], b[j - 1]) for j in range(1, m + 1) if taken[j]]
+    costs = [token_cost(x, y) for x, y in pairs]
+    if any(c >= 9 for c in costs):
+        return 9.0, 0, []
+    return sum(costs), sum(len(x) > 1 and len(y) > 1 for x, y in pairs), [j - 1 for j in range(1, m + 1) if not taken[j]]
+
+
 def compare(left: str, right: str) -> tuple[int, float] | None:
     """(grade, cost) if the names can be one entity's: grade 0 names both spelled out, 1 with initials only."""
     a, b = parse(left), parse(right)
@@ -203,7 +240,8 @@ def compare(left: str, right: str) -> tuple[int, float] | None:
     if len(b.tokens) > 9:
         if sorted(a.tokens) == sorted(b.tokens):
             return 0, 0.1
-        return (0, 2.0) if len(a.joined) > 12 and slips(a.joined, b.joined, 2) <= 2 else None
+        if len(a.joined) > 12 and slips(a.joined, b.joined, 2) <= 2:
+            return 0, 2.0
     cost, full, left_over = assign(a.tokens, b.tokens)
     if cost >= 9 or not full:
         if len(a.joined) >= 8 and len(a.tokens) != len(b.tokens):

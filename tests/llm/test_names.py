@@ -74,3 +74,25 @@ def test_hot_keys_keep_every_spelling(spark):
     table = names.name_table(spark.createDataFrame(rows_of(rows), "name_norm string, pid string, name string"))
     pairs = lambda hot: {tuple(r) for r in names.verified_pairs(names.candidate_pairs(table, hot)).select("left", "right").collect()}
     assert pairs(1) == pairs(10_000) and len(pairs(1)) >= len(CROWDED) - 3
+
+
+LONG = "royal northern department for applied marine robotics sensor networks climate modelling ocean physics"
+
+
+def test_long_names():
+    moved = "dept. for applied marine robotics royal northern sensor networks climate modeling ocean phisics"
+    assert names.compare(LONG, moved) and names.compare(moved, LONG) == names.compare(LONG, moved)
+    assert {k for k, _, _ in names.index_keys(LONG)} & {k for k, _, _ in names.index_keys(moved)}
+    assert names.compare(LONG, LONG.replace("robotics", "history")) is None
+
+
+def test_long_assignment_is_optimal():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(300):
+        a = tuple(rng.choice(["anna", "ana", "a", "lee", "leo", "gomez"]) for _ in range(rng.randrange(1, 7)))
+        b = tuple(rng.choice(["anna", "ana", "a", "lee", "leo", "gomez"]) for _ in range(len(a) + rng.randrange(3)))
+        cost, full, left = names.assign(a, b)
+        again = names.assign_long(a, b)
+        assert again[0] == pytest.approx(cost) and again[1] == full and len(again[2]) == len(left)
