@@ -91,11 +91,13 @@ class Item:
 
 
 class LeakIndex:
-    def __init__(self, items: list[tuple[int, str]], gram: int = GRAM, min_share: float = 0.5, slack: float = 0.15, rare_share: float = 0.04):
+    def __init__(self, items: list[tuple[int, str]], gram: int = GRAM, min_share: float = 0.5, slack: float = 0.15, rare_share: float = 0.04, df: dict[str, int] | None = None, count: int = 0):
+        # df, count: in how many items each word is and how many there are, where these items are a part of them.
         self.gram, self.min_share, self.slack = gram, min_share, slack
         split = [(i, w) for i, t in items if t and (w := plain_words(t))]
-        df = Counter(w for _, words in split for w in set(words))
-        most = max(2, math.ceil(rare_share * len(split)))
+        if df is None:
+            df, count = Counter(w for _, words in split for w in set(words)), len(split)
+        most = max(2, math.ceil(rare_share * count))
         rare = {w for w, n in df.items() if n <= most}
         self.items = [Item(i, w, rare) for i, w in split]
         self.vocabulary = set(df)
@@ -159,13 +161,26 @@ def leaks(documents: DataFrame, items: DataFrame, min_share: float = 0.5, max_in
     parts = max(1, -(-size // max_index_words))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
 
+    whole = None
+    if parts > 1:  # words are telling, and spelled, by all items whatever the number of indexes
+
+        def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                split = [set(w) for t in batch["text"] if t and (w := plain_words(t))]
+                rows = [("", len(split)), *Counter(w for words in split for w in words).items()]
+                yield pd.DataFrame(rows, columns=["word", "n"])
+
+        counted = test.select("text").mapInPandas(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+        whole = spark.sparkContext.broadcast({r["word"]: r["n"] for r in counted})
+
     def scan(part: int) -> DataFrame:
         own = test if parts == 1 else test.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
         rows = [(r["item_id"], r["text"]) for r in own.orderBy("item_id").collect()]  # at most max_index_words words
         shared = spark.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index = LeakIndex(shared.value, min_share=min_share)
+            df = None if whole is None else {w: n for w, n in whole.value.items() if w}
+            index = LeakIndex(shared.value, min_share=min_share, df=df, count=0 if whole is None else whole.value[""])
             for batch in batches:
                 found = [(i, d, s) for d, t in zip(batch["doc_id"], batch["text"]) for i, s in index.matches(t)]
                 yield pd.DataFrame(found, columns=["item_id", "doc_id", "share"])

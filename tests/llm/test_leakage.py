@@ -60,3 +60,15 @@ def test_one_pattern_is_no_case():
     index = leakage.LeakIndex(items)
     assert [index.matches(fill() + " " + fill()) for _ in range(20)] == [[]] * 20
     assert [i for i, _ in index.matches(items[7][1])] == [7]
+
+
+def test_parts_do_not_change_matches(spark):
+    from bibspark.llm import leakage
+
+    # Words of every item's pattern tell nothing, however few of the items an index holds.
+    pattern = "please read the passage below and answer which river crosses the old town named"
+    items = [(k, f"{pattern} {' '.join(f'place{chr(97 + k)}{chr(97 + j)}xq' for j in range(6))}") for k in range(20)]
+    docs = [(100 + k, t) for k, (_, t) in enumerate(items)] + [(500, f"{pattern} nowhere at all in this land")]
+    i, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    found = lambda most: {(r["item_id"], r["doc_id"]) for r in leakage.leaks(d, i, max_index_words=most).collect()}
+    assert found(10_000) == found(40) == {(k, 100 + k) for k in range(20)}
