@@ -1,11 +1,11 @@
 """Spelling variants of names typed by people, linked into entities.
 
-Candidates come from a symmetric-delete index on tokens: every token is filed
-under itself and under itself less one letter, together with the initial of
-another token of the name, so names one slip apart meet under a common key
-whatever the order of their parts. Candidates are verified by an optimal
-assignment of their tokens that permits slips, initials, abbreviations,
-nicknames and left-out middle parts.
+Candidates come from a symmetric-delete index over the distinct tokens: it finds
+the commoner tokens each may be a spelling of, so of two that are alike one
+stands for both. A name is then filed under every two of its tokens, or a token
+and the initial of another, so names meet whatever the order of their parts.
+Candidates are verified by an optimal assignment of their tokens that permits
+slips, initials, abbreviations, nicknames and left-out middle parts.
 
 A person id is an entity of its own, so only names never seen with an id are
 compared, with all others. Each joins the entity it fits strictly best; a name
@@ -13,8 +13,9 @@ that fits two entities equally well (an initial, say) stays by itself. Names
 seen so often without an id that chance cannot explain it are entities without
 id; the test uses the mean share of missing ids over all names that have one.
 
-Keys that very many names share are refined by forms of the second token where
-both spell it out, forms that all spellings token_cost accepts share; nothing is capped.
+Every pair of names that compare accepts meets under a key: two spelled-out names
+only under two tokens they share, an abbreviated one under a token and an initial.
+Nothing is capped, and no key depends on how many names share it.
 
 Defined results: null and blank names have no entity; repeated rows only add
 to a name's count; names that carry different four-digit numbers, or one and
@@ -30,6 +31,7 @@ from functools import lru_cache
 
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,7 +61,6 @@ ORGANISATION_MARKS = frozenset(ORGANISATION_WORDS.values()) | {"observatory", "c
 TITLES = frozenset("dr prof professor mr mrs ms sir dame phd md msc ba jr sr ii iii iv dipl ing".split())
 PARTICLES = frozenset("van der den de del della di da dos du von zu la le al el bin ibn ter ten of the for and".split())
 FILLERS = frozenset("the of for and in at".split())
-HOT_KEY = 2000
 CHANCE = 0.003
 
 _VOWELS = str.maketrans("", "", "aeiou")
@@ -93,6 +94,11 @@ def parse(text: str) -> Name:
     return Name(text)
 
 
+def is_full(token: str) -> bool:
+    """Whether a token is spelled out and says something."""
+    return len(token) > 1 and token not in PARTICLES
+
+
 @lru_cache(maxsize=500_000)
 def slips(a: str, b: str, most: int) -> int:
     """Edits between a and b, swapped neighbours counting one; most + 1 if there are more."""
@@ -133,7 +139,7 @@ def token_cost(a: str, b: str) -> float:
     if shortest >= 3:
         allowed = 1 if longest <= 5 else 2
         d = slips(a, b, allowed)
-        if d <= allowed and (d == 1 or (longest >= 6 and a[0] == b[0])):
+        if d <= allowed and (a[0] == b[0] or d == 1 and shortest > 3):  # a first letter tells short parts apart
             best = float(d)
     if best > 1 and shortest >= 3 and (b.startswith(a) or a.startswith(b)):
         best = 0.7 if shortest < longest - 1 else best
@@ -153,17 +159,19 @@ def _like(token: str) -> tuple[str, ...]:
 
 def token_forms(token: str) -> set[str]:
     """Forms of which two name tokens share one if token_cost takes them for the same, initials aside."""
-    forms = {token} | less_letters(token)
+    # Two slips count only behind an equal first letter.
+    forms = {token} | less_letters(token, len(token) > 1) | ({token[0] + t for t in less_letters(token[1:], 2)} if len(token) > 5 else set())
     forms |= {f"^{token[:k]}" for k in range(3, len(token) + 1)}
     if len(token) > 3:
         forms.add(f"~{token[0]}{token.translate(_VOWELS)}")
     return forms | {f"={f}" for n in (token, *(_like(token) if 2 < len(token) < 7 else ())) for f in (n, *formal(n))}
 
 
-def less_letters(token: str) -> set[str]:
-    """The token with up to two letters left out, one if it has two or three: within that many slips two share a form."""
+def less_letters(token: str, most: int | None = None) -> set[str]:
+    """The token with up to most letters left out; by default two, one if it has two to five: two share a form if they
+    are within two slips, or one where neither has more than five letters."""
     out, last = set(), {token}
-    for _ in range(2 if len(token) > 3 else len(token) > 1):
+    for _ in range((2 if len(token) > 5 else len(token) > 1) if most is None else most):
         last = {t[:k] + t[k + 1 :] for t in last for k in range(len(t))}
         out |= last
     return out
@@ -183,7 +191,7 @@ def assign(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, int, list[int
                 if not used >> j & 1:
                     c = token_cost(x, y)
                     if c < 9:
-                        option = (cost + c, full - (len(x) > 1 and len(y) > 1))
+                        option = (cost + c, full - (is_full(x) and is_full(y)))
                         at = used | 1 << j
                         if at not in following or option < following[at]:
                             following[at] = option
@@ -198,7 +206,7 @@ def assign_long(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, int, lis
     """The same in polynomial time (Hungarian method), for names of many tokens."""
     never, n, m = 1e6, len(a), len(b)
     # Of equally cheap assignments the one with more full tokens counts.
-    price = [[never if (c := token_cost(x, y)) >= 9 else c - 1e-6 * (len(x) > 1 and len(y) > 1) for y in b] for x in a]
+    price = [[never if (c := token_cost(x, y)) >= 9 else c - 1e-6 * (is_full(x) and is_full(y)) for y in b] for x in a]
     u, v, taken, back = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
     for i in range(1, n + 1):
         taken[0], j = i, 0
@@ -225,7 +233,11 @@ def assign_long(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, int, lis
     costs = [token_cost(x, y) for x, y in pairs]
     if any(c >= 9 for c in costs):
         return 9.0, 0, []
-    return sum(costs), sum(len(x) > 1 and len(y) > 1 for x, y in pairs), [j - 1 for j in range(1, m + 1) if not taken[j]]
+    return sum(costs), sum(is_full(x) and is_full(y) for x, y in pairs), [j - 1 for j in range(1, m + 1) if not taken[j]]
+
+
+def joined_ends(name: Name) -> str:
+    return name.joined[:3] + name.joined[-3:]
 
 
 def compare(left: str, right: str) -> tuple[int, float] | None:
@@ -237,14 +249,9 @@ def compare(left: str, right: str) -> tuple[int, float] | None:
         return (0 if sum(len(t) > 1 for t in a.tokens) > 1 or a.organisation else 1), 0.0
     if len(a.tokens) > len(b.tokens):
         a, b = b, a
-    if len(b.tokens) > 9:
-        if sorted(a.tokens) == sorted(b.tokens):
-            return 0, 0.1
-        if len(a.joined) > 12 and slips(a.joined, b.joined, 2) <= 2:
-            return 0, 2.0
     cost, full, left_over = assign(a.tokens, b.tokens)
     if cost >= 9 or not full:
-        if len(a.joined) >= 8 and len(a.tokens) != len(b.tokens):
+        if len(a.joined) >= 8 and len(a.tokens) != len(b.tokens) and joined_ends(a) == joined_ends(b):
             d = slips(a.joined, b.joined, 2)
             if d <= 2:
                 return 0, d + 0.5
@@ -258,83 +265,97 @@ def compare(left: str, right: str) -> tuple[int, float] | None:
     persons = [t for t in a.tokens if t not in PARTICLES]
     if len(persons) < 2:
         return None
-    return (0 if full - sum(t in PARTICLES for t in a.tokens) > 1 else 1), cost + 0.3 * len(spare) + 0.1 * (len(left_over) - len(spare))
+    return (0 if full > 1 else 1), cost + 0.3 * len(spare) + 0.1 * (len(left_over) - len(spare))
 
 
-def index_keys(text: str) -> list[tuple[str, bool, list[str]]]:
-    """(key, whether the second token is spelled out, the spelled-out second tokens) of a name."""
-    name = parse(text)
-    tokens = list(dict.fromkeys(name.tokens))
-    out: dict[tuple[str, bool], list[str]] = {}
-    for i, t in enumerate(tokens):
-        if len(t) < 2 or t in PARTICLES:
-            continue
-        forms = {t} | ({t[:k] + t[k + 1 :] for k in range(len(t))} if len(t) > 3 else set())
-        others = [u for j, u in enumerate(tokens) if j != i and u not in PARTICLES] or [t]
-        for u in others:
-            letters = {u[0]} | {f[0] for f in formal(u)} | ({f[0] for n in _like(u) for f in formal(n)} if 2 < len(u) < 7 else set())
-            for form in forms:
-                for letter in letters:
-                    key = f"{name.number}|{form}|{letter}"
-                    full = len(u) > 1
-                    out.setdefault((key, full), []).extend([u] if full else [])
-    if not out and tokens:  # nothing but initials and particles
-        out[(f"{name.number}|~{' '.join(sorted(tokens))}", True)] = [""]
-    if len(name.joined) >= 8:  # parts written together or apart
-        out[(f"{name.number}|={name.joined[:3]}{name.joined[-3:]}", True)] = [name.joined]
-    return [(k, full, sorted(set(r))) for (k, full), r in out.items()]
+def spellings(tokens: DataFrame, forms, alike) -> DataFrame:
+    """token, near: of the tokens of tokens(token, n), the commoner ones each may be a spelling of, if any.
+
+    forms gives strings of which two tokens that are alike share one. Of two alike one is the commoner, so one
+    names the other, whatever their number."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(xxhash.xxh64_intdigest(f) - (1 << 63), f[:1] != "^" or f[1:] == t, t, n) for t, n in zip(batch["token"], batch["n"]) for f in forms(t)]
+            yield pd.DataFrame(rows, columns=["form", "asks", "token", "n"])
 
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.loc[[alike(a, b) for a, b in zip(batch["token"], batch["other"])]]
 
-def refined_keys(key: str, seconds: list[str], asked: bool) -> set[str]:
-    """Keys of which two names under one key share one if compare can take their second tokens for the same.
+    filed = tokens.repartition("token").mapInPandas(run, "form long, asks boolean, token string, n long")
+    # A prefix that many tokens have brings only the token that is that prefix to them.
+    pairs = filed.alias("a").join(filed.alias("b"), F.expr("a.form = b.form AND a.asks AND a.token <> b.token"))
+    up = F.expr("struct(a.n, a.token) < struct(b.n, b.token)")
+    pairs = pairs.select(F.when(up, F.col("a.token")).otherwise(F.col("b.token")).alias("token"), F.when(up, F.col("b.token")).otherwise(F.col("a.token")).alias("other"))
+    return pairs.distinct().mapInPandas(verify, "token string, other string").groupBy("token").agg(F.sort_array(F.collect_list("other")).alias("near"))
 
-    A token that may be short for a longer one asks for it, and the longer one is asked: the two sides swap that."""
-    if "|=" in key:  # joined names are compared by slips alone
-        return {f"{key}|{v}" for u in seconds for v in {u} | less_letters(u)}
-    whole, part = ("?", "!") if asked else ("!", "?")
-    forms = {f if f[:1] != "^" else (whole if f[1:] == u else part) + f[1:] for u in seconds for f in token_forms(u)}
-    return {f"{key}|{v}" for v in forms}
 
+def same_token(a: str, b: str) -> bool:
+    return token_cost(a, b) < 9
 
-def name_table(rows: DataFrame) -> DataFrame:
-    """name, pid (of the rows that have one), n rows and n rows without pid; partial sums first."""
+
+def index_keys(name: Name, near: dict[str, list[str]]) -> list[tuple[str, bool]]:
+    """(key, short): two names that compare accepts share a key under which at least one is short.
+
+    near holds, for a token, the commoner ones it may be a spelling of. Two spelled-out tokens give a key
+    together; a token and the initial of another give one, short where that other is but an initial. All tokens of
+    an organisation must match, so two of them and their number give a key."""
+    tokens = name.tokens
+    spelled = [(t, *near.get(t, ())) for t in tokens]
+    out: dict[str, bool] = {}
+    for i, t in enumerate(tokens):
+        if not is_full(t):
+            continue
+        for j, u in enumerate(tokens):
+            if j == i:
+                continue
+            if len(u) > 1 and (i < j or not is_full(u)):
+                for x in spelled[i]:
+                    for y in spelled[j]:
+                        out[f"{len(tokens) if name.organisation else name.number}+{min(x, y)} {max(x, y)}"] = True
+            for letter in {u[0], *(f[0] for f in formal(u))}:
+                for x in spelled[i]:
+                    key = f"{name.number}.{x} {letter}"
+                    out[key] = out.get(key, False) or len(u) == 1
+    if tokens and (len(tokens) == 1 or not any(map(is_full, tokens))):  # these match only if they are equal
+        out[f"{name.number}~{' '.join(tokens)}"] = True
+    if len(name.joined) >= 8:  # parts written together or apart
+        out[f"{name.number}={joined_ends(name)}"] = True
+    return list(out.items())
+
+
+def name_counts(rows: DataFrame) -> DataFrame:
+    """name, n rows, bare (those without pid) of each distinct name; partial sums first."""
     named = rows.filter("name_norm IS NOT NULL AND trim(name_norm) <> ''")
-    return named.groupBy(F.col("name_norm").alias("name")).agg(
-        F.min("pid").alias("pid"), F.count("*").alias("n"), F.sum(F.col("pid").isNull().cast("long")).alias("bare")
-    )
+    return named.groupBy(F.col("name_norm").alias("name")).agg(F.count("*").alias("n"), F.sum(F.col("pid").isNull().cast("long")).alias("bare"))
 
 
-def candidate_pairs(names: DataFrame, hot: int = HOT_KEY) -> DataFrame:
-    """left (a name without pid), right: distinct pairs that meet under a key."""
-    schema = "name string, loose boolean, key string, full boolean, seconds array<string>"
+def candidate_pairs(names: DataFrame) -> DataFrame:
+    """left (one of names(name, loose) that is loose), right: distinct pairs that meet under a key."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(n, loose, list(set(parse(n).tokens))) for n, loose in zip(batch["name"], batch["loose"])], columns=["name", "loose", "tokens"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(n, loose, *k) for n, loose in zip(batch["name"], batch["loose"]) for k in index_keys(n)]
-            yield pd.DataFrame(rows, columns=["name", "loose", "key", "full", "seconds"])
-
-    keys = cut(names.select("name", F.col("pid").isNull().alias("loose")).mapInPandas(run, schema))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("size"), F.max("loose").alias("any_loose")).filter("any_loose AND size > 1")
-    used = keys.join(sizes.select("key", (F.col("size") > hot).alias("hot")), "key")
-    left = used.filter("loose").select("key", F.col("name").alias("left"), F.col("full").alias("lf"), "hot")
-    right = used.select("key", F.col("name").alias("right"), F.col("full").alias("rf"))
-    plain = left.join(right, "key").filter("NOT hot OR NOT lf OR NOT rf").select("left", "right")
-    crowded = used.filter("hot AND full").select("name", "loose", "key", "seconds")
-
-    def refine(asked: bool, name: str):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                rows = [(n, k) for n, key, seconds in zip(batch["name"], batch["key"], batch["seconds"]) for k in refined_keys(key, seconds, asked)]
-                yield pd.DataFrame(rows, columns=[name, "k"])
-
-        return run
-
-    fine = (
-        crowded.filter("loose").mapInPandas(refine(True, "left"), "left string, k string")
-        .join(crowded.mapInPandas(refine(False, "right"), "right string, k string"), "k")
-        .select("left", "right")
-    )
-    return plain.unionByName(fine).filter("left <> right").distinct()
+            rows = []
+            for n, loose, told in zip(batch["name"], batch["loose"], batch["told"]):
+                name = parse(n)
+                near = {t["token"]: list(t["near"]) for t in told}
+                rows += [(n, loose, xxhash.xxh64_intdigest(k) - (1 << 63), short, k.startswith(f"{name.number}="), len(name.tokens), name.joined) for k, short in index_keys(name, near)]
+            yield pd.DataFrame(rows, columns=["name", "loose", "key", "short", "ends", "parts", "joined"])
+
+    parts = cut(names.select("name", "loose").mapInPandas(split, "name string, loose boolean, tokens array<string>"))
+    each = parts.select("name", "loose", F.explode("tokens").alias("token"))
+    near = spellings(each.filter(F.length("token") > 1).groupBy("token").agg(F.count("*").alias("n")), token_forms, same_token)
+    told = each.join(near, "token", "left").groupBy("name", "loose").agg(F.collect_list(F.when(F.col("near").isNotNull(), F.struct("token", "near"))).alias("told"))
+    keys = cut(told.mapInPandas(run, "name string, loose boolean, key long, short boolean, ends boolean, parts int, joined string"))
+    met = keys.filter("loose").alias("a").join(keys.alias("b"), F.expr("a.key = b.key AND (a.short OR b.short) AND a.name <> b.name"))
+    # Joined names can match by slips only where one has more parts; two slips are at most four edits.
+    met = met.filter("NOT a.ends OR a.parts <> b.parts AND abs(length(a.joined) - length(b.joined)) <= 2 AND levenshtein(a.joined, b.joined, 4) >= 0")
+    return met.select(F.col("a.name").alias("left"), F.col("b.name").alias("right")).distinct()
 
 
 def verified_pairs(pairs: DataFrame) -> DataFrame:
@@ -367,7 +388,7 @@ def _join_best(open_names: DataFrame, edges: DataFrame, labels: DataFrame, margi
 def _stars(members: DataFrame, edges: DataFrame) -> DataFrame:
     """name, label: members gathered around the most frequent spelled-out name they match.
 
-    A variant is made from the usual spelling, so it lies next to it; three steps settle who that is."""
+    A variant is made from the usual spelling, so it lies next to it; who that is, is followed to the end."""
     m = members.select("name", "n")
     inside = (
         edges.filter("grade = 0 AND cost <= 2.2")
@@ -377,25 +398,28 @@ def _stars(members: DataFrame, edges: DataFrame) -> DataFrame:
     )
     hub = m.select("name", F.struct(F.col("n").alias("rn"), F.col("name").alias("right")).alias("o")).unionByName(inside)
     hubs = hub.groupBy("name").agg(F.max("o").alias("o")).select("name", F.col("o.right").alias("label"))
-    for _ in range(3):
+    hubs = cut(hubs)
+    while True:  # every step halves the way to the hub, which is more frequent than all on it
         up = hubs.select(F.col("name").alias("label"), F.col("label").alias("__up"))
-        hubs = hubs.join(up, "label").select("name", F.col("__up").alias("label"))
-    return hubs
+        hubs = cut(hubs.join(up, "label").select("name", F.col("__up").alias("label"), (F.col("__up") != F.col("label")).alias("moved")))
+        if hubs.filter("moved").isEmpty():
+            return hubs.select("name", "label")
 
 
 def entities(rows: DataFrame, margin: float = 0.3, chance: float = CHANCE) -> DataFrame:
-    """name, entity over the distinct name_norm of rows(name_norm, pid)."""
-    names = cut(name_table(rows.select("name_norm", "pid")))
-    known = names.filter("pid IS NOT NULL")
-    loose = names.filter("pid IS NULL")
-    share = known.agg(F.avg(F.col("bare") / F.col("n")).alias("s")).first()["s"] or 0.0
+    """name, entity over the distinct name_norm of rows(name_norm, pid); a name that several pids carry has a row for each."""
+    rows = rows.select("name_norm", F.when(F.trim("pid") != "", F.col("pid")).alias("pid"))
+    names = cut(name_counts(rows).withColumn("loose", F.col("bare") == F.col("n")))
+    fixed = rows.filter("pid IS NOT NULL AND trim(name_norm) <> ''").select(F.col("name_norm").alias("name"), F.concat(F.lit("pid:"), F.col("pid")).alias("label")).distinct()
+    fixed = cut(fixed)
+    loose = names.filter("loose").select("name", "n")
+    share = names.filter("NOT loose").agg(F.avg(F.col("bare") / F.col("n")).alias("s")).first()["s"] or 0.0
     edges = cut(verified_pairs(candidate_pairs(names)))
     often = F.pow(F.lit(min(max(float(share), 0.01), 0.9)), F.col("n")) < chance
-    fixed = known.select("name", F.concat(F.lit("pid:"), F.col("pid")).alias("label"))
     # The same spelling but for its characters is the same entity however often it comes without id.
     same = cut(_join_best(loose.filter(often), edges.filter("grade = 0 AND cost < 0.05"), fixed, margin))
     fixed = fixed.unionByName(same)
-    hubs = cut(_stars(loose.filter(often).join(same, "name", "left_anti"), edges).withColumn("label", F.concat(F.lit("name:"), F.col("label"))))
+    hubs = _stars(loose.filter(often).join(same, "name", "left_anti"), edges).withColumn("label", F.concat(F.lit("name:"), F.col("label")))
     # Spelled-out frequent names found their own entities; initials among them may join one.
     rare = loose.filter(~often)
     joined = cut(_join_best(rare, edges, fixed.unionByName(hubs), margin))
@@ -403,9 +427,9 @@ def entities(rows: DataFrame, margin: float = 0.3, chance: float = CHANCE) -> Da
     last = _stars(rest, edges).withColumn("label", F.concat(F.lit("name:"), F.col("label")))
     labels = cut(fixed.unionByName(hubs).unionByName(joined).unionByName(last))
     # Entities of a single name, most of them initials, get a second chance against whole entities.
-    single = labels.filter("label LIKE 'name:%'").groupBy("label").agg(F.count("*").alias("k"), F.min("name").alias("name")).filter("k = 1")
-    others = labels.join(single.select("name"), "name", "left_anti")
-    late = _join_best(single.select("name"), edges.filter("grade = 1 OR cost <= 1"), others.filter("label LIKE 'name:%'"), margin)
+    found = labels.filter("label LIKE 'name:%'")
+    single = found.groupBy("label").agg(F.count("*").alias("k"), F.min("name").alias("name")).filter("k = 1").select("name")
+    late = _join_best(single, edges.filter("grade = 1 OR cost <= 1"), found.join(single, "name", "left_anti"), margin)
     final = labels.join(late.select("name", F.col("label").alias("__late")), "name", "left")
     return final.select("name", F.coalesce("__late", "label").alias("entity"))
 
@@ -417,4 +441,4 @@ def variant_pairs(rows: DataFrame) -> DataFrame:
     e = cut(entities(rows))
     a = e.select("entity", F.col("name").alias("name_a"))
     b = e.select("entity", F.col("name").alias("name_b"))
-    return a.join(b, "entity").filter("name_a < name_b").select("name_a", "name_b")
+    return a.join(b, "entity").filter("name_a < name_b").select("name_a", "name_b").distinct()
