@@ -104,6 +104,17 @@ def slips(a: str, b: str, most: int) -> int:
     """Edits between a and b, swapped neighbours counting one; most + 1 if there are more."""
     if abs(len(a) - len(b)) > most:
         return most + 1
+    k, n = 0, min(len(a), len(b))
+    while k < n and a[k] == b[k]:
+        k += 1
+    a, b, n = a[k:], b[k:], n - k
+    k = 0
+    while k < n and a[-1 - k] == b[-1 - k]:
+        k += 1
+    if k:
+        a, b = a[:-k], b[:-k]
+    if not a or not b:
+        return max(len(a), len(b))
     before: list[int] = []
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -118,6 +129,16 @@ def slips(a: str, b: str, most: int) -> int:
     return row[-1]
 
 
+def edits(a: str, b: str) -> int:
+    """Letters put in, left out or changed between a and b."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
 @lru_cache(maxsize=100_000)
 def formal(token: str) -> frozenset[str]:
     return frozenset(NICKNAMES.get(token, "").split())
@@ -177,32 +198,33 @@ def less_letters(token: str, most: int | None = None) -> set[str]:
     return out
 
 
-def assign(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, int, list[int]]:
+def assign(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, int, list[int], list[int]]:
     """Cheapest one-to-one assignment of the tokens of a (no longer than b) to those of b.
 
-    Gives its cost, how many full tokens met full tokens, and the tokens of b left over."""
+    Gives its cost, how many full tokens met full tokens, the tokens of b left over and those that met full ones."""
     if len(b) > 9:
         return assign_long(a, b)
-    states: dict[int, tuple[float, int]] = {0: (0.0, 0)}
+    states: dict[int, tuple[float, int, int]] = {0: (0.0, 0, 0)}
     for x in a:
-        following: dict[int, tuple[float, int]] = {}
-        for used, (cost, full) in states.items():
+        following: dict[int, tuple[float, int, int]] = {}
+        for used, (cost, full, spelled) in states.items():
             for j, y in enumerate(b):
                 if not used >> j & 1:
                     c = token_cost(x, y)
                     if c < 9:
-                        option = (cost + c, full - (is_full(x) and is_full(y)))
+                        both = is_full(x) and is_full(y)
+                        option = (cost + c, full - both, spelled | both << j)
                         at = used | 1 << j
                         if at not in following or option < following[at]:
                             following[at] = option
         states = following
         if not states:
-            return 9.0, 0, []
-    used, (cost, full) = min(states.items(), key=lambda s: s[1])
-    return cost, -full, [j for j in range(len(b)) if not used >> j & 1]
+            return 9.0, 0, [], []
+    used, (cost, full, spelled) = min(states.items(), key=lambda s: s[1])
+    return cost, -full, [j for j in range(len(b)) if not used >> j & 1], [j for j in range(len(b)) if spelled >> j & 1]
 
 
-def assign_long(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, int, list[int]]:
+def assign_long(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, int, list[int], list[int]]:
     """The same in polynomial time (Hungarian method), for names of many tokens."""
     never, n, m = 1e6, len(a), len(b)
     # Of equally cheap assignments the one with more full tokens counts.
@@ -229,11 +251,18 @@ def assign_long(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, int, lis
         while j:
             taken[j] = taken[back[j]]
             j = back[j]
-    pairs = [(a[taken[j] - 1], b[j - 1]) for j in range(1, m + 1) if taken[j]]
-    costs = [token_cost(x, y) for x, y in pairs]
+    pairs = [(a[taken[j] - 1], b[j - 1], j - 1) for j in range(1, m + 1) if taken[j]]
+    costs = [token_cost(x, y) for x, y, _ in pairs]
     if any(c >= 9 for c in costs):
-        return 9.0, 0, []
-    return sum(costs), sum(is_full(x) and is_full(y) for x, y in pairs), [j - 1 for j in range(1, m + 1) if not taken[j]]
+        return 9.0, 0, [], []
+    spelled = [j for x, y, j in pairs if is_full(x) and is_full(y)]
+    return sum(costs), len(spelled), [j - 1 for j in range(1, m + 1) if not taken[j]], spelled
+
+
+def ends(tokens: tuple[str, ...]) -> tuple[int, int]:
+    """Places of the first and the last part, particles aside if two others are there."""
+    said = [k for k, t in enumerate(tokens) if t not in PARTICLES]
+    return (said[0], said[-1]) if len(said) > 1 else (0, len(tokens) - 1)
 
 
 def joined_ends(name: Name) -> str:
@@ -247,20 +276,21 @@ def compare(left: str, right: str) -> tuple[int, float] | None:
         return None
     if a.tokens == b.tokens:
         return (0 if sum(len(t) > 1 for t in a.tokens) > 1 or a.organisation else 1), 0.0
-    if len(a.tokens) > len(b.tokens):
+    if (len(a.tokens), a.tokens) > (len(b.tokens), b.tokens):
         a, b = b, a
-    cost, full, left_over = assign(a.tokens, b.tokens)
-    if cost >= 9 or not full:
+    cost, full, left_over, spelled = assign(a.tokens, b.tokens)
+    first, last = ends(b.tokens)
+    if cost >= 9 or first not in spelled and last not in spelled:
         if len(a.joined) >= 8 and len(a.tokens) != len(b.tokens) and joined_ends(a) == joined_ends(b):
             d = slips(a.joined, b.joined, 2)
-            if d <= 2:
+            if d <= 2 and edits(a.joined, b.joined) <= 2:
                 return 0, d + 0.5
         return None
     if a.organisation:
-        return (0, cost) if not left_over and cost <= 3 else None
+        return (0, cost) if not left_over and cost <= 3 and len(b.tokens) > 1 else None
     spare = [j for j in left_over if b.tokens[j] not in PARTICLES]
-    # Parts may be missing in the middle, never the first or the last one.
-    if any(j in (0, len(b.tokens) - 1) for j in spare) or len(spare) > 2 or cost > 3.6:
+    # Parts may be missing in the middle, never the first or the last one, and one of these is spelled out on both sides.
+    if first in left_over or last in left_over or len(spare) > 2 or cost > 3.6:
         return None
     persons = [t for t in a.tokens if t not in PARTICLES]
     if len(persons) < 2:
@@ -268,61 +298,84 @@ def compare(left: str, right: str) -> tuple[int, float] | None:
     return (0 if full > 1 else 1), cost + 0.3 * len(spare) + 0.1 * (len(left_over) - len(spare))
 
 
-def spellings(tokens: DataFrame, forms, alike) -> DataFrame:
-    """token, near: of the tokens of tokens(token, n), the commoner ones each may be a spelling of, if any.
+def spellings(tokens: DataFrame, forms, alike, hub: int = 16) -> DataFrame:
+    """token, near, stand: of the tokens of tokens(token, n), the commoner ones it is filed under as well, if any.
 
-    forms gives strings of which two tokens that are alike share one. Of two alike one is the commoner, so one
-    names the other, whatever their number."""
+    forms gives strings of which two tokens that are alike share one. Of two that are alike the commoner is near the
+    other; but of two with less than hub occurrences a third may stand for both, the commonest that is like each of
+    them. So a misspelling needs its word only and not all other misspellings of that."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(xxhash.xxh64_intdigest(f) - (1 << 63), f[:1] != "^" or f[1:] == t, t, n) for t, n in zip(batch["token"], batch["n"]) for f in forms(t)]
-            yield pd.DataFrame(rows, columns=["form", "asks", "token", "n"])
+            rows = [(xxhash.xxh64_intdigest(f) - (1 << 63), f[:1] != "^" or f[1:] == t, t, n, top) for t, n, top in zip(batch["token"], batch["n"], batch["top"]) for f in forms(t)]
+            yield pd.DataFrame(rows, columns=["form", "asks", "token", "n", "top"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch.loc[[alike(a, b) for a, b in zip(batch["token"], batch["other"])]]
 
-    filed = tokens.repartition("token").mapInPandas(run, "form long, asks boolean, token string, n long")
-    # A prefix that many tokens have brings only the token that is that prefix to them.
-    pairs = filed.alias("a").join(filed.alias("b"), F.expr("a.form = b.form AND a.asks AND a.token <> b.token"))
-    up = F.expr("struct(a.n, a.token) < struct(b.n, b.token)")
-    pairs = pairs.select(F.when(up, F.col("a.token")).otherwise(F.col("b.token")).alias("token"), F.when(up, F.col("b.token")).otherwise(F.col("a.token")).alias("other"))
-    return pairs.distinct().mapInPandas(verify, "token string, other string").groupBy("token").agg(F.sort_array(F.collect_list("other")).alias("near"))
+    def filed(df: DataFrame) -> DataFrame:
+        return df.select("token", "n", "top").repartition("token").mapInPandas(run, "form long, asks boolean, token string, n long, top string")
+
+    def met(a: DataFrame, b: DataFrame, also: str) -> DataFrame:
+        """token, other, m: pairs with the commoner as other; a prefix that many tokens have brings only the one that is that prefix to them."""
+        pairs = filed(a).alias("a").join(filed(b).alias("b"), F.expr(f"a.form = b.form AND a.token <> b.token AND {also}"))
+        up = F.expr("struct(a.n, a.token) < struct(b.n, b.token)")
+        pick = lambda c, d: F.when(up, F.col(c)).otherwise(F.col(d))
+        return pairs.select(pick("a.token", "b.token").alias("token"), pick("b.token", "a.token").alias("other"), pick("b.n", "a.n").alias("m")).distinct()
+
+    schema = "token string, other string, m long"
+    bare = tokens.withColumn("top", F.col("token"))
+    common = cut(met(bare, bare.filter(F.col("n") >= hub), "(a.asks OR b.asks)").mapInPandas(verify, schema))
+    tops = common.groupBy("token").agg(F.max(F.struct("m", "other")).alias("t")).select("token", F.col("t.other").alias("top"))
+    rare = cut(tokens.filter(F.col("n") < hub).join(tops, "token", "left").select("token", "n", F.coalesce("top", "token").alias("top")))
+    rest = cut(met(rare, rare, "a.asks AND a.top <> b.top").mapInPandas(verify, schema).unionByName(common).distinct())
+    top = rest.groupBy("token").agg(F.max(F.struct("m", "other")).alias("t")).select("token", F.col("t.other").alias("top"))
+    theirs = rest.join(top, "token").join(top.select(F.col("token").alias("other"), F.col("top").alias("their")), "other", "left")
+    kept = theirs.join(tokens.filter(F.col("n") < hub).select("token", F.lit(True).alias("rare")), "token", "left")
+    kept = kept.filter(f"other = top OR rare IS NULL OR m >= {hub} OR coalesce(their, other) <> top")
+    return kept.groupBy("token").agg(F.sort_array(F.collect_set("other")).alias("near"), F.max(F.when(F.col("rare"), F.col("top"))).alias("stand"))
 
 
 def same_token(a: str, b: str) -> bool:
     return token_cost(a, b) < 9
 
 
-def index_keys(name: Name, near: dict[str, list[str]]) -> list[tuple[str, bool]]:
-    """(key, short): two names that compare accepts share a key under which at least one is short.
+def index_keys(name: Name, near: dict[str, list[str]]) -> list[tuple[str, bool, bool]]:
+    """(key, short, held): two names that compare accepts share a key that one of them holds and under which one is short.
 
     near holds, for a token, the commoner ones it may be a spelling of. Two spelled-out tokens give a key
-    together; a token and the initial of another give one, short where that other is but an initial. All tokens of
-    an organisation must match, so two of them and their number give a key."""
+    together; a token and the initial of another give one, short where that other is but an initial. The longer
+    name has its first and last parts matched, so it holds the keys of those two; the other has them among all of its own."""
     tokens = name.tokens
     spelled = [(t, *near.get(t, ())) for t in tokens]
-    out: dict[str, bool] = {}
+    first, last = ends(tokens)
+    out: dict[str, list[bool]] = {}
+
+    def add(key: str, short: bool, held: bool) -> None:
+        had = out.setdefault(key, [False, False])
+        had[0] |= short
+        had[1] |= held
+
     for i, t in enumerate(tokens):
         if not is_full(t):
             continue
         for j, u in enumerate(tokens):
             if j == i:
                 continue
+            held = {i, j} == {first, last}
             if len(u) > 1 and (i < j or not is_full(u)):
                 for x in spelled[i]:
                     for y in spelled[j]:
-                        out[f"{len(tokens) if name.organisation else name.number}+{min(x, y)} {max(x, y)}"] = True
+                        add(f"{name.number}+{min(x, y)} {max(x, y)}", True, held)
             for letter in {u[0], *(f[0] for f in formal(u))}:
                 for x in spelled[i]:
-                    key = f"{name.number}.{x} {letter}"
-                    out[key] = out.get(key, False) or len(u) == 1
+                    add(f"{name.number}.{x} {letter}", len(u) == 1, held)
     if tokens and (len(tokens) == 1 or not any(map(is_full, tokens))):  # these match only if they are equal
-        out[f"{name.number}~{' '.join(tokens)}"] = True
+        add(f"{name.number}~{' '.join(tokens)}", True, True)
     if len(name.joined) >= 8:  # parts written together or apart
-        out[f"{name.number}={joined_ends(name)}"] = True
-    return list(out.items())
+        add(f"{name.number}={joined_ends(name)}", True, True)
+    return [(k, *v) for k, v in out.items()]
 
 
 def name_counts(rows: DataFrame) -> DataFrame:
@@ -344,17 +397,21 @@ def candidate_pairs(names: DataFrame) -> DataFrame:
             for n, loose, told in zip(batch["name"], batch["loose"], batch["told"]):
                 name = parse(n)
                 near = {t["token"]: list(t["near"]) for t in told}
-                rows += [(n, loose, xxhash.xxh64_intdigest(k) - (1 << 63), short, k.startswith(f"{name.number}="), len(name.tokens), name.joined) for k, short in index_keys(name, near)]
-            yield pd.DataFrame(rows, columns=["name", "loose", "key", "short", "ends", "parts", "joined"])
+                for k, short, held in index_keys(name, near):
+                    ends = k.startswith(f"{name.number}=")
+                    rows.append((n, loose, xxhash.xxh64_intdigest(k) - (1 << 63), short, held, len(name.tokens), name.joined if ends else None))
+            yield pd.DataFrame(rows, columns=["name", "loose", "key", "short", "held", "parts", "joined"])
 
     parts = cut(names.select("name", "loose").mapInPandas(split, "name string, loose boolean, tokens array<string>"))
     each = parts.select("name", "loose", F.explode("tokens").alias("token"))
     near = spellings(each.filter(F.length("token") > 1).groupBy("token").agg(F.count("*").alias("n")), token_forms, same_token)
     told = each.join(near, "token", "left").groupBy("name", "loose").agg(F.collect_list(F.when(F.col("near").isNotNull(), F.struct("token", "near"))).alias("told"))
-    keys = cut(told.mapInPandas(run, "name string, loose boolean, key long, short boolean, ends boolean, parts int, joined string"))
-    met = keys.filter("loose").alias("a").join(keys.alias("b"), F.expr("a.key = b.key AND (a.short OR b.short) AND a.name <> b.name"))
-    # Joined names can match by slips only where one has more parts; two slips are at most four edits.
-    met = met.filter("NOT a.ends OR a.parts <> b.parts AND abs(length(a.joined) - length(b.joined)) <= 2 AND levenshtein(a.joined, b.joined, 4) >= 0")
+    keys = cut(told.mapInPandas(run, "name string, loose boolean, key long, short boolean, held boolean, parts int, joined string"))
+    met = keys.filter("loose").alias("a").join(keys.alias("b"), F.expr(
+        "a.key = b.key AND (a.short OR b.short) AND a.name <> b.name AND (b.held AND a.parts <= b.parts OR a.held AND a.parts >= b.parts)"
+    ))
+    # Joined names can match only where one has more parts, within two edits.
+    met = met.filter("a.joined IS NULL OR a.parts <> b.parts AND levenshtein(a.joined, b.joined, 2) >= 0")
     return met.select(F.col("a.name").alias("left"), F.col("b.name").alias("right")).distinct()
 
 

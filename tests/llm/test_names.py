@@ -18,8 +18,8 @@ def meet(left, right):
     """Whether the names share a key, of their tokens the commoner standing for both where two are alike."""
     a, b = names.parse(left), names.parse(right)
     near = {x: [y for y in b.tokens if x != y and len(x) > 1 < len(y) and names.same_token(x, y) and names.token_forms(x) & names.token_forms(y)] for x in a.tokens}
-    mine, yours = dict(names.index_keys(a, near)), dict(names.index_keys(b, {}))
-    return any(mine[k] or yours[k] for k in mine.keys() & yours.keys())
+    mine, yours = ({k: v for k, *v in names.index_keys(*x)} for x in ((a, near), (b, {})))
+    return any((mine[k][0] or yours[k][0]) and (mine[k][1] or yours[k][1]) for k in mine.keys() & yours.keys())
 
 
 @pytest.mark.parametrize("pair", SAME)
@@ -136,6 +136,6 @@ def test_long_assignment_is_optimal():
     for _ in range(300):
         a = tuple(rng.choice(["anna", "ana", "a", "lee", "leo", "gomez"]) for _ in range(rng.randrange(1, 7)))
         b = tuple(rng.choice(["anna", "ana", "a", "lee", "leo", "gomez"]) for _ in range(len(a) + rng.randrange(3)))
-        cost, full, left = names.assign(a, b)
+        cost, full, left, spelled = names.assign(a, b)
         again = names.assign_long(a, b)
-        assert again[0] == pytest.approx(cost) and again[1] == full and len(again[2]) == len(left)
+        assert again[0] == pytest.approx(cost) and again[1] == full and len(again[2]) == len(left) and len(again[3]) == len(spelled)
