@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibspark.llm import encode, leakage, names, nearrecords, skeleton, spam, survivorship
-from bibspark.runtime import table
+from bibspark.runtime import cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -41,6 +41,16 @@ def p5_name_groups(spark: SparkSession, d: str) -> DataFrame:
     return skeleton.skeleton_groups(table(spark, d, "publication_authors"), "name").filter("variants > 1")
 
 
+def p5_title_groups(spark: SparkSession, d: str) -> DataFrame:
+    return skeleton.skeleton_groups(table(spark, d, "publications"), "title").filter("variants > 1")
+
+
+def p1_entities(spark: SparkSession, d: str) -> DataFrame:
+    """One row per spelling and entity it belongs to, with the entity's number of spellings."""
+    e = cut(names.entities(table(spark, d, "publication_authors")))
+    return e.join(e.groupBy("entity").agg(F.count("*").alias("spellings")), "entity").select("name", "entity", "spellings")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_column(table(spark, d, "documents"), "doc_id", "text")
 
@@ -54,7 +64,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_groups, p5_found, p5_name_groups, p7_ids, p8_found, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_entities, p2_found, p4_found, p4_groups, p5_found, p5_name_groups, p5_title_groups, p7_ids, p8_found, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:

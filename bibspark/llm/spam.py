@@ -14,7 +14,8 @@ matrix a language); only they reach the driver. Languages outside the known
 ones, and null, share one group, whose statistics are those of all posts.
 
 Defined results: null, empty and blank posts and posts of only quotes are not
-spam; long posts are measured whole; repeated posts are each reported; text in
+spam; posts of any length are measured whole, short ones with scores that lean
+towards what is typical; repeated posts are each reported; text in
 a language without function words listed falls under the shared group.
 """
 
@@ -47,7 +48,9 @@ LANGUAGES = tuple(FUNCTION_WORDS)
 FEATURES = ("links", "tags", "sparse", "evenness", "repeats", "unsaid")
 # Smallest scale a feature may have: where most posts agree exactly, median deviations vanish.
 FLOORS = {"links": 0.02, "tags": 0.02, "sparse": 0.05, "evenness": 0.03, "repeats": 0.05, "unsaid": 0.1}
-LEAST_WORDS = 12
+# Words and posts that what is typical counts for: a short post's scores and a small language's yardstick lean towards it.
+TYPICAL_WORDS = 8
+TYPICAL_POSTS = 50
 
 _QUOTED_LINE = re.compile(r"^[ \t]*(?:>|&gt;|\||»)")
 _HEADLINE = re.compile(r"(?i)^\s*(?:on\b.{0,80}\b(?:said|wrote)\s*:|quoting\s+\S+.{0,20}|\S+\s+(?:wrote|said|schrieb|escribio|escribió|a écrit)\s*:)\s*$")
@@ -57,10 +60,12 @@ _EITHER = re.compile(r"(\[quote\b[^\]]*\]|<blockquote\b[^>]*>)|(\[/quote\]|</blo
 _SIGNATURE = re.compile(r"^(?:--+|__+|==+|~~+|\*\*\*+)\s*$|^\s*(?:sent from my|get .{1,30} for)\b.*$|^~\*~.*$|^-=.*=-.*$", re.I)
 _URL = re.compile(r"(?i)(?:https?|ftp)://[^\s\"'<>\[\]()]+|www\.[^\s\"'<>\[\]()]+")
 _HREF = re.compile(r"(?is)<a\b[^>]*>|\[url\b[^\]]*\]")
-_TAG = re.compile(r"(?is)</?[a-z][^<>]{0,400}>|\[/?[a-z*][^\[\]]{0,200}\]")
+_TAG = re.compile(r"(?is)</?[a-z][^<>]*>|\[/?[a-z*][^\[\]]*\]")
 _HASHTAG = re.compile(r"(?:^|(?<=[\s,;]))#\w+")
-_SENTENCE = regex.compile(r"[\p{Lu}¿¡][^.!?|#\n]{8,400}[.!?]+(?=[\s\"')*\]<]|$)")
+_STRETCH = re.compile(r"([^.!?|#\n]+)([.!?]*)")
+_BEGIN = regex.compile(r"[\p{Lu}¿¡]")
 _WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}]+)?")
+_ASCII_WORD = re.compile(r"[A-Za-z]+(?:'[A-Za-z]+)?")
 _MACHINE = re.compile(r"\d{1,2}:\d{2}:\d{2}|\w+\[\d+\]|^\s*(?:for|if|elif|else|def|return|raise|import|while|try|except|class|select|public|static|int|var|let|const)\b.*[:;{()]\s*|[;{}]\s*$|[!=]=|->|\w\(\)|^\s*(?:at|File) \S+[(:]", re.I)
 
 
@@ -89,8 +94,20 @@ def own_text(text: str) -> str:
     return "\n".join(lines)
 
 
+def words_of(text: str) -> list[str]:
+    return (_ASCII_WORD if text.isascii() else _WORD).findall(text)
+
+
+def sentences(text: str) -> Iterator[str]:
+    """Stretches from a capital letter to a full stop, of any length from ten characters, each read once."""
+    for m in _STRETCH.finditer(text):
+        if m.group(2) and (m.end() == len(text) or text[m.end()] in " \t\r\n\f\v\u00a0\"')*]<") and (b := _BEGIN.search(m.group(1))):
+            if len(m.group(1)) - b.start() > 8:
+                yield m.group(1)[b.start() :]
+
+
 def features(text: str | None) -> tuple[float, ...] | None:
-    """Values in the order of FEATURES, or None for too little own text."""
+    """How many words the post's own text has, a link counting as three, and values in the order of FEATURES; None without own text."""
     if not text or not text.strip():
         return None
     own = html.unescape(own_text(text))
@@ -99,11 +116,11 @@ def features(text: str | None) -> tuple[float, ...] | None:
     urls, anchors = _URL.findall(own), _HREF.findall(own)
     hashtags = _HASHTAG.findall(own)
     bare = _TAG.sub(" ", _URL.sub(" ", _HREF.sub(" ", own)))
-    words = _WORD.findall(comparison_key(_HASHTAG.sub(lambda m: " " + m.group().strip("#"), bare)))
-    slugs = _WORD.findall(" ".join(u.lower() for u in urls))
+    words = words_of(comparison_key(_HASHTAG.sub(lambda m: " " + m.group().strip("#"), bare) if hashtags else bare))
+    slugs = words_of(" ".join(u.lower() for u in urls))
     spoken = [w for w in words if len(w) > 1 or w in _ALL_WORDS]
     total = len(spoken) + len(urls)
-    if len(spoken) + 3 * len(urls) < LEAST_WORDS:
+    if not total:
         return None
     links = len(urls) / max(1, total)
     tags = len(hashtags) / max(1, total)
@@ -114,14 +131,14 @@ def features(text: str | None) -> tuple[float, ...] | None:
     weight = 2 * len(urls)  # a link takes the room of some words
     sparse = (1 - (len(spoken) - len(content)) / (len(spoken) + weight) if spoken else 1.0) * (1 - machine)
     basis = content or slugs
-    counts = Counter(re.sub(r"\d+$", "", w) for w in basis)
+    counts = Counter(basis)
     n = sum(counts.values())
     entropy = -sum(c / n * math.log(c / n) for c in counts.values()) if n else 0.0
     evenness = 1 - (entropy / math.log(n) if n > 1 else 1.0)
     repeats = sum(c for c in counts.values() if c > 2) / n if n else 0.0
-    prose = sum(len(_WORD.findall(x)) for x in _SENTENCE.findall(bare) if not _ALL_WORDS.isdisjoint(_WORD.findall(comparison_key(x))))
-    unsaid = 1 - min(1.0, prose / (len(_WORD.findall(bare)) + weight)) if spoken else 1.0
-    return links, tags, sparse, evenness, repeats, unsaid
+    prose = sum(len(x) for x in map(words_of, map(comparison_key, sentences(bare))) if not _ALL_WORDS.isdisjoint(x))
+    unsaid = 1 - min(1.0, prose / (len(words) + weight)) if spoken else 1.0
+    return len(spoken) + 3 * len(urls), links, tags, sparse, evenness, repeats, unsaid
 
 
 def language(lang: Column) -> Column:
@@ -131,13 +148,13 @@ def language(lang: Column) -> Column:
 
 
 def measured(documents: DataFrame) -> DataFrame:
-    """doc_id, language and one double per feature for every post with enough own text."""
-    schema = "doc_id long, language string, " + ", ".join(f"{f} double" for f in FEATURES)
+    """doc_id, language, words and one double per feature for every post with own text."""
+    schema = "doc_id long, language string, words double, " + ", ".join(f"{f} double" for f in FEATURES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(d, g, *v) for d, g, t in zip(batch["doc_id"], batch["language"], batch["text"]) if (v := features(t))]
-            yield pd.DataFrame(rows, columns=["doc_id", "language", *FEATURES])
+            yield pd.DataFrame(rows, columns=["doc_id", "language", "words", *FEATURES])
 
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), language(F.col("lang")).alias("language"), F.col("text").cast("string").alias("text"))
     return slim.filter(F.trim("text") != "").mapInPandas(run, schema)
@@ -160,29 +177,31 @@ def _scores(name: str, at: str = "") -> Column:
     return (F.col(name) - F.col(f"{at}c_{name}")) / F.col(f"{at}s_{name}")
 
 
-def yardsticks(posts: DataFrame, winsor: float = 3.0, least_posts: int = 50) -> dict[str | None, Yardstick]:
-    """One yardstick per language with at least least_posts posts, and one (key None) of all posts."""
+def yardsticks(posts: DataFrame, winsor: float = 3.0, typical: int = TYPICAL_POSTS) -> dict[str | None, Yardstick]:
+    """One yardstick per language, in which all posts together count as typical more, and one (key None) of all posts."""
     both = posts.select(F.explode(F.array_distinct(F.array(F.col("language"), F.lit(None).cast("string")))).alias("g"), *FEATURES)
     centre = both.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(f, 0.5, 2000).alias(f"c_{f}") for f in FEATURES])
-    centres = {r["g"]: r for r in centre.collect() if r["n"] >= (least_posts if r["g"] else 1)}  # a row per language
-    if not centres:
+    rows = {r["g"]: r for r in centre.collect()}  # a row per language
+    if not rows:
         return {}
+    share = {g: r["n"] / (r["n"] + typical) if g else 1.0 for g, r in rows.items()}
+    lean = lambda g, own, of_all: share[g] * own + (1 - share[g]) * of_all
+    centres = {g: {f"c_{f}": lean(g, r[f"c_{f}"], rows[None][f"c_{f}"]) for f in FEATURES} for g, r in rows.items()}
     spark = posts.sparkSession
     fields = ", ".join(f"c_{f} double" for f in FEATURES)
     mid = spark.createDataFrame([(g, *[r[f"c_{f}"] for f in FEATURES]) for g, r in centres.items()], f"g string, {fields}")
     off = both.join(F.broadcast(mid), both["g"].eqNullSafe(mid["g"])).select(mid["g"], *[F.col(f) - F.col(f"c_{f}") for f in FEATURES])
     off = off.toDF("g", *FEATURES)
     scale = off.groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(f)), 0.5, 2000).alias(f) for f in FEATURES]).collect()
-    scales = {r["g"]: [max(1.4826 * r[f], FLOORS[f]) for f in FEATURES] for r in scale}
+    spread = {r["g"]: [max(1.4826 * r[f], FLOORS[f]) for f in FEATURES] for r in scale}
+    scales = {g: [lean(g, x, y) for x, y in zip(v, spread[None])] for g, v in spread.items()}
     sized = spark.createDataFrame([(g, *v) for g, v in scales.items()], "h string, " + ", ".join(f"s_{f} double" for f in FEATURES))
     z = off.join(F.broadcast(sized), off["g"].eqNullSafe(sized["h"])).select(
         "g", *[F.greatest(F.lit(-winsor), F.least(F.lit(winsor), F.col(f) / F.col(f"s_{f}"))).alias(f) for f in FEATURES]
     )
     shape = z.groupBy("g").agg(*[F.avg(F.col(a) * F.col(b)).alias(f"{a}__{b}") for a in FEATURES for b in FEATURES]).collect()
-    return {
-        r["g"]: Yardstick([centres[r["g"]][f"c_{f}"] for f in FEATURES], scales[r["g"]], np.array([r[f"{a}__{b}"] for a in FEATURES for b in FEATURES]))
-        for r in shape
-    }
+    shapes = {r["g"]: np.array([r[f"{a}__{b}"] for a in FEATURES for b in FEATURES]) for r in shape}
+    return {g: Yardstick([centres[g][f"c_{f}"] for f in FEATURES], scales[g], lean(g, m, shapes[None])) for g, m in shapes.items()}
 
 
 def spam_posts(documents: DataFrame, cut_distance: float = 6.0, sparse_cut: float = 2.5, unsaid_cut: float = 3.5, direction_cut: float = 3.0) -> DataFrame:
@@ -199,6 +218,8 @@ def spam_posts(documents: DataFrame, cut_distance: float = 6.0, sparse_cut: floa
             for g, part in batch.groupby(batch["language"].where(batch["language"].isin([k for k in sticks if k]), None).fillna("")):
                 stick = sticks.get(g or None) or sticks[None]
                 z = (part[list(FEATURES)].to_numpy() - stick.centre) / stick.scale
+                words_in = part["words"].to_numpy()
+                z *= (words_in / (words_in + TYPICAL_WORDS))[:, None]
                 distance = np.sqrt(np.einsum("ij,jk,ik->i", z, stick.inverse, z).clip(0))
                 link, tag, sparse, even, again = z[:, 0], z[:, 1], z[:, 2], z[:, 3], z[:, 4]
                 words = np.minimum(even, again) + np.maximum(0, sparse - sparse_cut)

@@ -23,7 +23,7 @@ def test_own_text():
     assert spam.own_text("[quote]a[quote]b[/quote]c[/quote]\nmine\n-- \nsig").split() == ["mine"]
     assert spam.own_text("X wrote:\n> a\n&gt; b\nmine").split() == ["mine"]
     assert spam.own_text("<blockquote>a</blockquote>mine\n____\nCheers,\nme").split() == ["mine"]
-    assert spam.own_text("") == "" and spam.features("> only\n> quoted") is None and spam.features(None) is None and spam.features("short") is None
+    assert spam.own_text("") == "" and spam.features("> only\n> quoted") is None and spam.features(None) is None and spam.features("--") is None
 
 
 def test_flagged(spark):
@@ -44,6 +44,27 @@ def test_flagged(spark):
     assert spam.spam_posts(df.limit(0)).count() == 0
 
 
+def test_any_length_and_any_language(spark):
+    """Short spam is found, short replies are not; a sentence has no greatest length; a language of few posts is measured like others."""
+    posts = [(k, " ".join(POSTS[(k + j) % 3] for j in range(1 + k % 3)) + f" It took me {k} days to see why.", "en", "x") for k in range(120)]
+    short = {"three": "http://a.test/pills http://b.test/casino http://c.test/loans cheap pills", "buy": "buy shoes " * 5}
+    replies = ["Thanks!", "+1", "ok cool", "lol", "Same here.", "See http://rack.example/manual", "no idea, sorry", "me too me too", "What about the hub?"]
+    posts += [(1000 + k, t, "en", "x") for k, t in enumerate(short.values())] + [(2000 + k, t, "en", "x") for k, t in enumerate(replies)]
+    long = "My neighbour says that " + "the oven is fine and the dough is good and we wait for it, " * 12 + "so I did not touch it."
+    posts += [(3000, long, "en", "x"), (3001, long, "de", "x"), (3002, SPAM["links"], "fr", "x"), (3003, SPAM["list"], "es", "x"), (3004, POSTS[0], "fr", "x")]
+    got = {r["doc_id"] for r in spam.spam_posts(spark.createDataFrame(posts, "doc_id long, text string, lang string, language string")).collect()}
+    assert got == {1000, 1001, 3002, 3003}
+    assert spam.features(long)[-1] == 0 and list(spam.sentences("a b. The cat sat on it! v2.0 Is this not so? no. End here")) == ["The cat sat on it", "Is this not so"]
+
+
+def test_distance_decides(spark):
+    """Posts that point in a spam-directed direction are not flagged where their distance is not an outlier's."""
+    posts = [(k, POSTS[k % 3] + f" It took me {k} days to see why.", "en", "x") for k in range(90)] + [(1000 + k, t, "en", "x") for k, t in enumerate(SPAM.values())]
+    df = spark.createDataFrame(posts, "doc_id long, text string, lang string, language string")
+    near, far = ({r["doc_id"] for r in spam.spam_posts(df, cut_distance=c).collect()} for c in (6.0, 1000.0))
+    assert len(near) == len(SPAM) and not far
+
+
 def test_languages(spark):
     df = spark.createDataFrame([("EN",), ("en-US",), (" de",), ("english",), ("fr_FR",), (None,), ("",), ("zz",)], "l string")
     assert [r[0] for r in df.select(spam.language(df["l"])).collect()] == ["en", "en", "de", None, "fr", None, None, None]
