@@ -13,10 +13,14 @@ those few items have. The second condition keeps items apart that are built
 on one pattern and share only its wording.
 
 The item table is checked against max_index_words before it is broadcast;
-beyond that the items are dealt into several indexes, one pass per index over
-the documents, so nothing that grows is sent whole. Defined results: null,
-empty and blank texts hold nothing; repeated documents are answered like any
-other; items without words match nothing; equal item texts are each reported.
+beyond that the items are dealt into several indexes, one after the other, each a pass
+over the documents whose result is written before the next is sent. What is shared
+by all is the count of each word, a row per word. A worker builds an index once.
+
+Documents that hold items can be dropped, or the passages cut out of them.
+Defined results: null, empty and blank texts hold nothing; repeated documents are
+answered like any other; items without words match nothing; equal item texts are each
+reported; a document without a passage is handed on as it is, nulls included.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from __future__ import annotations
 import html
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -34,11 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bibspark.llm.skeleton import comparison_key
+from bibspark.runtime import cut
 
 GRAM = 3
 MAX_INDEX_WORDS = 2_000_000
 
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,400}>|\[/?(?:quote|b|i|u|s|size|color|url|img|list|code|spoiler|font|center|left|right|\*)\b[^\[\]]{0,200}\]|\[\*\]", re.I)
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>|\[/?(?:quote|b|i|u|s|size|color|url|img|list|code|spoiler|font|center|left|right|\*)\b[^\[\]]*\]|\[\*\]", re.I)
+_TOKEN = re.compile(r"\S+")
 _QUOTE = re.compile(r"(?m)^[ \t]*(?:[>|»]+[ \t]*)+")
 _BROKEN = regex.compile(r"(\p{L})[-\u00ad\u2010]\r?\n[ \t]*(?=\p{Ll})")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
@@ -128,9 +135,23 @@ class LeakIndex:
                 self.cache[word] = found
         return found
 
+    def passages(self, text: str) -> list[tuple[int, int]]:
+        """Start and end in the text of what it holds of items, from the first to the last word of each that is in order."""
+        tokens = [(m.start(), m.end(), w) for m in _TOKEN.finditer(text) for w in plain_words(m.group())]
+        words = [self.known(w) for *_, w in tokens]
+        spans = []
+        for at, first, last, share, telling in self.found(words):
+            if telling >= self.min_share - self.slack:
+                inside = [k for k in range(first, last) if words[k] in self.items[at].masks]
+                spans.append((tokens[inside[0]][0], tokens[inside[-1]][1]))
+        return sorted(spans)
+
     def scores(self, text: str) -> list[tuple[int, float, float]]:
         """item_id, share of words and share of telling words, of every item with a hit."""
-        words = [self.known(w) for w in plain_words(text)]
+        return [(self.items[at].item_id, share, telling) for at, _, _, share, telling in self.found([self.known(w) for w in plain_words(text)])]
+
+    def found(self, words: list[str]) -> list[tuple[int, int, int, float, float]]:
+        """Item, first and last place around its hits, share of its words and of its telling words, where the share is enough."""
         first: dict[int, int] = {}
         last: dict[int, int] = {}
         for n in range(self.short, self.gram + 1):
@@ -142,21 +163,38 @@ class LeakIndex:
         for at in sorted(first):
             item = self.items[at]
             # Only words near the hits count: scattered function words elsewhere are no passage.
-            region = words[max(0, first[at] - item.size // 2) : last[at] + item.size // 2]
+            begin, end = max(0, first[at] - item.size // 2), min(len(words), last[at] + item.size // 2)
+            region = words[begin:end]
             share = common_length(item.masks, item.size, region) / item.size
             if share >= self.min_share:
                 telling = common_length(item.rare_masks, item.rare_size, region) / item.rare_size if item.rare_size else share
-                out.append((item.item_id, share, telling))
+                out.append((at, begin, end, share, telling))
         return out
 
     def matches(self, text: str) -> list[tuple[int, float]]:
         return [(i, s) for i, s, t in self.scores(text) if t >= self.min_share - self.slack]
 
 
+_BUILT: dict[str, LeakIndex] = {}
+
+
+def built(name: str, rows: list[tuple[int, str]], min_share: float, counts: dict[str, int] | None) -> LeakIndex:
+    """The index of a broadcast item table, built once in each worker; the one before it is let go."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        df = None if counts is None else {w: n for w, n in counts.items() if w}
+        _BUILT[name] = LeakIndex(rows, min_share=min_share, df=df, count=0 if counts is None else counts[""])
+    return _BUILT[name]
+
+
+def item_texts(items: DataFrame) -> DataFrame:
+    return items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+
+
 def leaks(documents: DataFrame, items: DataFrame, min_share: float = 0.5, max_index_words: int = MAX_INDEX_WORDS) -> DataFrame:
     """item_id, doc_id, share: every document that holds an item, one narrow pass per index."""
     spark = documents.sparkSession
-    test = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    test = item_texts(items)
     size = test.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
     parts = max(1, -(-size // max_index_words))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
@@ -176,15 +214,50 @@ def leaks(documents: DataFrame, items: DataFrame, min_share: float = 0.5, max_in
     def scan(part: int) -> DataFrame:
         own = test if parts == 1 else test.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
         rows = [(r["item_id"], r["text"]) for r in own.orderBy("item_id").collect()]  # at most max_index_words words
-        shared = spark.sparkContext.broadcast(rows)
+        shared, name = spark.sparkContext.broadcast(rows), uuid.uuid4().hex
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            df = None if whole is None else {w: n for w, n in whole.value.items() if w}
-            index = LeakIndex(shared.value, min_share=min_share, df=df, count=0 if whole is None else whole.value[""])
+            index = built(name, shared.value, min_share, None if whole is None else whole.value)
             for batch in batches:
                 found = [(i, d, s) for d, t in zip(batch["doc_id"], batch["text"]) for i, s in index.matches(t)]
                 yield pd.DataFrame(found, columns=["item_id", "doc_id", "share"])
 
-        return docs.mapInPandas(run, "item_id long, doc_id long, share double")
+        found = docs.mapInPandas(run, "item_id long, doc_id long, share double")
+        if parts > 1:
+            found = cut(found)
+            shared.destroy()
+        return found
 
     return reduce(DataFrame.unionByName, [scan(k) for k in range(parts)]).groupBy("item_id", "doc_id").agg(F.max("share").alias("share"))
+
+
+def without_leaking_documents(documents: DataFrame, items: DataFrame, min_share: float = 0.5, max_index_words: int = MAX_INDEX_WORDS) -> DataFrame:
+    """The documents that hold no item, all columns as they are."""
+    held = leaks(documents, items, min_share, max_index_words).select("doc_id").distinct()
+    return documents.join(held, "doc_id", "left_anti").select(*documents.columns)
+
+
+def without_leaking_passages(documents: DataFrame, items: DataFrame, min_share: float = 0.5, max_index_words: int = MAX_INDEX_WORDS) -> DataFrame:
+    """doc_id, text and removed (characters): every document, the passages of the items it holds cut out of its text.
+
+    Only documents that hold items meet these: each comes with the texts of its own."""
+    named = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    held = leaks(documents, items, min_share, max_index_words).join(item_texts(items), "item_id")
+    held = held.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("item_id", "text"))).alias("held"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for d, text, own in zip(batch["doc_id"], batch["text"], batch["held"]):
+                kept, at = [], 0
+                for start, end in LeakIndex([(i["item_id"], i["text"]) for i in own], min_share=min_share, rare_share=1.0).passages(text):
+                    if end > at:
+                        kept.append(text[at : max(at, start)])
+                        at = end
+                left = "".join(kept) + text[at:]
+                rows.append((d, left, len(text) - len(left)))
+            yield pd.DataFrame(rows, columns=["doc_id", "text", "removed"])
+
+    both = named.join(held, "doc_id", "left")
+    cleaned = both.filter("held IS NOT NULL").mapInPandas(run, "doc_id long, text string, removed int")
+    return both.filter("held IS NULL").select("doc_id", "text", F.lit(0).alias("removed")).unionByName(cleaned)

@@ -144,6 +144,15 @@ def formal(token: str) -> frozenset[str]:
     return frozenset(NICKNAMES.get(token, "").split())
 
 
+@lru_cache(maxsize=500_000)
+def letters(token: str) -> int:
+    """A bit for each letter of the token, some letters sharing one; an edit changes two at most."""
+    mask = 0
+    for c in token:
+        mask |= 1 << ord(c) % 61
+    return mask
+
+
 @lru_cache(maxsize=1_000_000)
 def token_cost(a: str, b: str) -> float:
     """Cost of taking a and b for the same part of a name; 9 if they are not."""
@@ -159,7 +168,7 @@ def token_cost(a: str, b: str) -> float:
     best = 9.0
     if shortest >= 3:
         allowed = 1 if longest <= 5 else 2
-        d = slips(a, b, allowed)
+        d = slips(a, b, allowed) if longest - shortest <= allowed and (letters(a) ^ letters(b)).bit_count() <= 2 * allowed else allowed + 1
         if d <= allowed and (a[0] == b[0] or d == 1 and shortest > 3):  # a first letter tells short parts apart
             best = float(d)
     if best > 1 and shortest >= 3 and (b.startswith(a) or a.startswith(b)):
@@ -298,11 +307,10 @@ def compare(left: str, right: str) -> tuple[int, float] | None:
     return (0 if full > 1 else 1), cost + 0.3 * len(spare) + 0.1 * (len(left_over) - len(spare))
 
 
-def spellings(tokens: DataFrame, forms, alike, hub: int = 16, within: str = "true") -> DataFrame:
+def spellings(tokens: DataFrame, forms, alike, hub: int = 16) -> DataFrame:
     """token, near, stand: of the tokens of tokens(token, n), the commoner ones it is filed under as well, if any.
 
-    forms gives strings of which two tokens that are alike share one; within is a condition on a.token and b.token that
-    they fulfil as well. Of two that are alike the commoner is near the
+    forms gives strings of which two tokens that are alike share one. Of two that are alike the commoner is near the
     other; but of two with less than hub occurrences a third may stand for both, the commonest that is like each of
     them. So a misspelling needs its word only and not all other misspellings of that."""
 
@@ -320,7 +328,7 @@ def spellings(tokens: DataFrame, forms, alike, hub: int = 16, within: str = "tru
 
     def met(a: DataFrame, b: DataFrame, also: str) -> DataFrame:
         """token, other, m: pairs with the commoner as other; a prefix that many tokens have brings only the one that is that prefix to them."""
-        pairs = filed(a).alias("a").join(filed(b).alias("b"), F.expr(f"a.form = b.form AND a.token <> b.token AND {also} AND {within}"))
+        pairs = filed(a).alias("a").join(filed(b).alias("b"), F.expr(f"a.form = b.form AND a.token <> b.token AND {also}"))
         up = F.expr("struct(a.n, a.token) < struct(b.n, b.token)")
         pick = lambda c, d: F.when(up, F.col(c)).otherwise(F.col(d))
         return pairs.select(pick("a.token", "b.token").alias("token"), pick("b.token", "a.token").alias("other"), pick("b.n", "a.n").alias("m")).distinct()

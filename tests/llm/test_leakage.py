@@ -72,3 +72,21 @@ def test_parts_do_not_change_matches(spark):
     i, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
     found = lambda most: {(r["item_id"], r["doc_id"]) for r in leakage.leaks(d, i, max_index_words=most).collect()}
     assert found(10_000) == found(40) == {(k, 100 + k) for k in range(20)}
+
+
+def test_documents_and_passages_are_removed(spark):
+    rng = random.Random(6)
+    words = [f"{a}{b}" for a in ("bran", "cor", "del", "fum", "gri") for b in ("tle", "vex", "mond", "pash", "wick", "zun")]
+    items = [(k, " ".join(rng.choice(words) for _ in range(24))) for k in range(5)]
+    whole = items[2][1].split()
+    docs = [
+        (1, "Before it all. " + items[0][1].upper() + " After it all.", "x"), (2, "nothing here at all", "x"), (3, None, "x"), (4, "", None),
+        (5, "One: <b>" + items[1][1] + "</b> two: " + " ".join(whole[:8] + ["(sic)"] + whole[8:]) + " three.", "x"), (2, "nothing here at all", "y"),
+    ]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string, held string"), spark.createDataFrame(items, "item_id long, text string")
+    left = leakage.without_leaking_documents(d, i).collect()
+    assert sorted((r["doc_id"], r["text"], r["held"]) for r in left if r["held"]) == [(2, "nothing here at all", "x"), (2, "nothing here at all", "y"), (3, None, "x")] and len(left) == 4
+    got = {r["doc_id"]: (r["text"], r["removed"]) for r in leakage.without_leaking_passages(d, i).collect()}
+    assert got[1] == ("Before it all.  After it all.", len(items[0][1])) and got[2] == ("nothing here at all", 0) and got[3] == (None, 0) and got[4] == ("", 0)
+    assert got[5][0].startswith("One:") and got[5][0].endswith("three.") and " two: " in got[5][0] and got[5][1] >= len(items[1][1]) + len(items[2][1])
+    assert leakage.leaks(leakage.without_leaking_passages(d, i), i).count() == 0 and leakage.without_leaking_passages(d.limit(0), i).count() == 0
