@@ -25,13 +25,13 @@ def suggest_authors(folded: DataFrame, suffixes: DataFrame, names: DataFrame, q:
     return once.orderBy(F.desc("publications"), fold(F.col("name")), "name").limit(limit)
 
 
-def suggest_titles(publications: DataFrame, postings: DataFrame, docs: DataFrame, q: str, limit: int = 10) -> DataFrame:
+def suggest_titles(publications: DataFrame, postings: DataFrame, corpus: DataFrame, q: str, limit: int = 10) -> DataFrame:
     """dblp_key, title, year of the best matches by title alone."""
     phrases = tuple(match_phrases(q.strip()))
     base = publications.filter("title <> ''").select("id", "dblp_key", "title", "year")
     if not phrases or any(not p.tokens for p in phrases):
         return base.filter(F.lit(False)).select("dblp_key", "title", "year")
-    return base.join(ranked(postings, docs, phrases, TITLE_WEIGHTS), "id").orderBy("score", "id").limit(limit).select("dblp_key", "title", "year")
+    return base.join(ranked(postings, corpus, phrases, TITLE_WEIGHTS), "id").orderBy("score", "id").limit(limit).select("dblp_key", "title", "year")
 
 
 def closest_phrases(q: str) -> tuple[Phrase, ...]:
@@ -40,19 +40,19 @@ def closest_phrases(q: str) -> tuple[Phrase, ...]:
     return tuple(Phrase(tuple(query_tokens(w)), True, (0,), k) for k, w in enumerate(cut))
 
 
-def closest_candidates(postings: DataFrame, q: str, cap: int = 5000) -> DataFrame:
+def closest_candidates(postings: DataFrame, q: str, cap: int | None = 5000) -> DataFrame:
     """id, missing: records with every word's start in the title (missing -1), or, if there are none,
-    those that lack exactly the earliest word whose omission finds any. The cap is part of the operator's contract."""
+    those that lack exactly the earliest word whose omission finds any. The cap is part of the service's contract; None takes every candidate."""
     phrases = closest_phrases(q)
     hits = phrase_hits(postings, phrases).groupBy("id").agg(F.collect_set("phrase").alias("have"))
     every = F.array(*[F.lit(k) for k in range(len(phrases))])
     scored = hits.select("id", F.array_except(every, F.col("have")).alias("lack")).filter(F.size("lack") <= (1 if len(phrases) > 1 else 0))
     placed = scored.select("id", F.coalesce(F.try_element_at("lack", F.lit(1)), F.lit(-1)).alias("missing"))
     best = placed.agg(F.min("missing").alias("best"))
-    return placed.join(F.broadcast(best), F.col("missing") == F.col("best")).orderBy("id").limit(cap).select("id", "missing")
+    return placed.join(F.broadcast(best), F.col("missing") == F.col("best")).select("id", "missing").transform(lambda df: df if cap is None else df.orderBy("id").limit(cap))
 
 
-def closest(publications: DataFrame, postings: DataFrame, q: str, limit: int = 10) -> DataFrame:
+def closest(publications: DataFrame, postings: DataFrame, q: str, limit: int = 10, cap: int | None = 5000) -> DataFrame:
     """id, dblp_key, title, authors, year, venue, record_type, similarity: the titles most like q, ties by id."""
     q = q.strip()
     columns = ("id", "dblp_key", "title", "authors", "year", "venue", "record_type")
@@ -73,7 +73,8 @@ def closest(publications: DataFrame, postings: DataFrame, q: str, limit: int = 1
         return titles.map(one)
 
     similarity = F.pandas_udf(ratios, "double")
-    found = base.join(F.broadcast(closest_candidates(postings, q)), "id").select(*columns, similarity("title").alias("similarity"))
+    candidates = closest_candidates(postings, q, cap)
+    found = base.join(candidates if cap is None else F.broadcast(candidates), "id").select(*columns, similarity("title").alias("similarity"))
     return found.orderBy(F.desc("similarity"), "id").limit(limit)
 
 

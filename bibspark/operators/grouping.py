@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibspark.functions.records import reference_type, version_rank
+from bibspark.functions.records import STANDARD, Rules, reference_type, version_rank
 from bibspark.functions.text import author_identity, normalized_title
 
 
@@ -28,14 +28,21 @@ def same_work_title(left: str, right: str) -> bool:
     return SequenceMatcher(None, left, right).ratio() >= 0.97
 
 
-def resolved(publications: DataFrame) -> DataFrame:
-    """Records with what grouping needs: identity, norm_title, reference_type, rank."""
-    kind = reference_type(F.col("record_type"), F.col("venue"), F.col("dblp_key"))
+def works_table(publications: DataFrame) -> DataFrame:
+    """What grouping needs of each record, worked out once for a built index; who is a short code of the identity."""
+    identity = author_identity(F.col("authors"), F.col("dblp_key"))
     return publications.select(
-        "id", "dblp_key",
-        author_identity(F.col("authors"), F.col("dblp_key")).alias("identity"),
-        (F.coalesce(F.col("authors"), F.lit("")) != "").alias("authored"),
-        normalized_title(F.col("title")).alias("norm_title"),
+        F.xxhash64(identity).alias("who"), "id", "dblp_key", identity.alias("identity"), (F.coalesce(F.col("authors"), F.lit("")) != "").alias("authored"),
+        normalized_title(F.col("title")).alias("norm_title"), "record_type", "venue", "doi", "year",
+    )
+
+
+def resolved(publications: DataFrame, rules: Rules = STANDARD) -> DataFrame:
+    """Records (or rows of works_table) with what grouping needs: identity, norm_title, reference_type, rank."""
+    works = publications if "norm_title" in publications.columns else works_table(publications)
+    kind = reference_type(F.col("record_type"), F.col("venue"), F.col("dblp_key"), rules)
+    return works.select(
+        "who", "id", "dblp_key", "identity", "authored", "norm_title",
         kind.alias("reference_type"),
         version_rank(kind, F.col("doi"), F.col("year"), F.col("dblp_key")).alias("rank"),
     )
@@ -64,15 +71,15 @@ def near_title_pairs(publications: DataFrame) -> DataFrame:
     return a.join(b, "who").filter(gate).select("id_a", "id_b", "ta", "tb")
 
 
-def group_hits(hits: DataFrame, publications: DataFrame, links: DataFrame | None = None) -> DataFrame:
+def group_hits(hits: DataFrame, publications: DataFrame, links: DataFrame | None = None, rules: Rules = STANDARD) -> DataFrame:
     """hits(id, hit_rank) -> hit_rank, group_key, best_id, version_count, versions (ids, best first).
 
-    hits is a page of results and is broadcast against the corpus; links(key, group_id)."""
-    r = resolved(publications)
+    hits is a page of results and is broadcast against the corpus, once by id and once by identity; links(key, group_id)."""
+    r = resolved(publications, rules)
     first = F.broadcast(hits.select(F.col("id").alias("__hit"), "hit_rank"))
-    found = r.join(first, r["id"] == F.col("__hit")).select("identity", "hit_rank", "id")
-    wanted = F.broadcast(found.select("identity").distinct())
-    pool = r.join(wanted, "identity", "left_semi").join(found.select("id", "hit_rank"), "id", "left")
+    found = r.join(first, r["id"] == F.col("__hit")).select("who", "identity", "hit_rank", "id")
+    wanted = F.broadcast(found.select("who", "identity").distinct())
+    pool = r.join(wanted, ["who", "identity"], "left_semi").join(found.select("id", "hit_rank"), "id", "left")
     if links is not None:
         tied = links.groupBy("key").agg(F.min("group_id").alias("link"))
         pool = pool.join(tied, pool["dblp_key"] == tied["key"], "left").drop("key")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibspark.functions.text import fold, index_tokens, name_suffixes
+from bibspark.operators import grouping
 from bibspark.plans.query import COLUMNS
 
 
@@ -36,13 +37,13 @@ def tokenised(publications: DataFrame) -> DataFrame:
 
 
 def postings(publications: DataFrame) -> DataFrame:
-    """term, id, col, pos: one row per token; a filter on term applies before anything is shuffled."""
+    """term, id, n_tokens (the record's length), col, pos: one row per token; a filter on term applies before anything is shuffled."""
 
     def placed(k: int, c: str) -> Column:
         return F.transform(F.col(c), lambda t, i: F.struct(t.alias("term"), F.lit(k).alias("col"), i.alias("pos")))
 
     rows = F.concat(*[placed(k, c) for k, c in enumerate(COLUMNS)])
-    return tokenised(publications).select("id", F.explode(rows).alias("p")).select("p.term", "id", "p.col", "p.pos")
+    return tokenised(publications).select("id", F.explode(rows).alias("p"), F.size(rows).cast("long").alias("n_tokens")).select("p.term", "id", "n_tokens", "p.col", "p.pos")
 
 
 def doc_stats(publications: DataFrame) -> DataFrame:
@@ -64,20 +65,30 @@ def title_grams(publications: DataFrame, size: int = 3) -> DataFrame:
     return folded.select(F.explode(grams).alias("gram"), "id")
 
 
+def _sorted(df: DataFrame, key: str, files: int, target: str) -> None:
+    df.repartitionByRange(files, key).sortWithinPartitions(key).write.mode("overwrite").parquet(target)
+
+
+def write_names(names: DataFrame, target: str, files: int | None = None) -> None:
+    """The author tables below target, sorted by the name they are looked up by; the two others come from the written first."""
+    n = files or names.sparkSession.sparkContext.defaultParallelism
+    _sorted(names, "name_norm", n, f"{target}/author_names")
+    names = names.sparkSession.read.parquet(f"{target}/author_names")
+    _sorted(author_folded(names), "name_folded", n, f"{target}/author_folded")
+    _sorted(author_suffixes(names), "suffix_folded", n, f"{target}/author_suffixes")
+
+
 def write_index(publications: DataFrame, authors: DataFrame, target: str, files: int | None = None) -> None:
     """All tables of one index version below target.
 
-    Postings are range-partitioned and sorted by term, author tables by the name
-    they are looked up by, so that a lookup reads the row groups its term can be in."""
+    Postings are range-partitioned and sorted by term, so that a lookup reads the row groups its term can be in."""
+    spark = publications.sparkSession
+    n = files or spark.sparkContext.defaultParallelism
     publications.write.mode("overwrite").parquet(f"{target}/publications")
     authors.write.mode("overwrite").parquet(f"{target}/publication_authors")
-    names = author_names(authors)
-    n = files or publications.sparkSession.sparkContext.defaultParallelism
-    for name, df, key in (
-        ("postings", postings(publications), "term"),
-        ("author_names", names, "name_norm"),
-        ("author_folded", author_folded(names), "name_folded"),
-        ("author_suffixes", author_suffixes(names), "suffix_folded"),
-    ):
-        df.repartitionByRange(n, key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{target}/{name}")
+    _sorted(postings(publications), "term", n, f"{target}/postings")
+    _sorted(grouping.works_table(publications), "who", n, f"{target}/works")
+    _sorted(title_grams(publications), "gram", n, f"{target}/title_grams")
+    write_names(author_names(authors), target, n)
     doc_stats(publications).write.mode("overwrite").parquet(f"{target}/doc_stats")
+    corpus_stats(spark.read.parquet(f"{target}/doc_stats")).write.mode("overwrite").parquet(f"{target}/corpus_stats")

@@ -7,7 +7,9 @@ optional levels. Node tables of a type (a path of field names, arrays being
 repetition of their field) are therefore linked by interval containment.
 
 A record's nodes travel as one array in the record's own row, so labelling and
-linking need no shuffle; only the choice of the delivery that counts does.
+linking need no shuffle; only the choice of the delivery that counts does. The
+linking is one pass over the nodes in pre-order with the intervals still open, so a
+record takes time in proportion to its nodes however many of them are people.
 
 Defined results: null, empty or cut-off text has no nodes; a leading byte-order
 mark or blanks are ignored; text that is itself a JSON object or array is
@@ -25,8 +27,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NODES = "array<struct<path:string,kind:string,value:string,pre:int,post:int,depth:int>>"
-PERSON, AFFILIATION = "record.groups.members", "record.groups.members.affiliations"
+NODES = "array<struct<path:string,kind:string,value:string,pre:int,post:int,depth:int,owner:int,owner_no:int,no:int>>"
+PERSON, AFFILIATION, VOLUME = "record.groups.members", "record.groups.members.affiliations", "record.venue.series.volumes"
+ENTRY = "entry"
 
 _ENTRY = re.compile(r"@\s*([A-Za-z]+)\s*([{(])")
 _FIELD = re.compile(r"[\s,]*([A-Za-z][\w:.+/-]*)\s*=\s*")
@@ -192,31 +195,51 @@ def bibtex_nodes(text: str | None) -> list[list]:
     return out.nodes
 
 
-def _nodes_udf(walk):
+def owned(nodes: list[list], tables: frozenset[str]) -> list[list]:
+    """The nodes with the label of the nearest node around them that is a row of one of tables (0 if none), the number
+    of that row in its own owner, and their own number among those of their type in theirs (0 if they hold nothing)."""
+    around: list[tuple[int, int, int]] = []  # post, pre and number of the rows whose intervals are open
+    counts: dict[tuple[int, str], int] = {}
+    for node in nodes:
+        path, kind, value, pre, post = node[:5]
+        while around and around[-1][0] < post:
+            around.pop()
+        _, owner, owner_no = around[-1] if around else (0, 0, 0)
+        number = 0
+        if kind != "null" and (kind != "text" or value.strip()):
+            number = counts[owner, path] = counts.get((owner, path), 0) + 1
+        node += [owner, owner_no, number]
+        if path in tables:
+            around.append((post, pre, number))
+    return nodes
+
+
+def _nodes_udf(walk, tables: frozenset[str]):
     @F.pandas_udf(NODES)
     def run(texts: pd.Series) -> pd.Series:
-        names = ("path", "kind", "value", "pre", "post", "depth")
-        return pd.Series([[dict(zip(names, n)) for n in walk(t if isinstance(t, str) else None)] for t in texts])
+        names = ("path", "kind", "value", "pre", "post", "depth", "owner", "owner_no", "no")
+        return pd.Series([[dict(zip(names, n)) for n in owned(walk(t if isinstance(t, str) else None), tables)] for t in texts])
 
     return run
 
 
-def json_tree(text: Column) -> Column:
-    return _nodes_udf(json_nodes)(text)
+def json_tree(text: Column, tables: tuple[str, ...] = (PERSON, AFFILIATION, VOLUME)) -> Column:
+    return _nodes_udf(json_nodes, frozenset(tables))(text)
 
 
-def bibtex_tree(text: Column) -> Column:
-    return _nodes_udf(bibtex_nodes)(text)
+def bibtex_tree(text: Column, tables: tuple[str, ...] = (ENTRY,)) -> Column:
+    return _nodes_udf(bibtex_nodes, frozenset(tables))(text)
 
 
 def of_type(nodes: Column, path: str) -> Column:
     """The nodes of one type that hold something, in document order."""
-    return F.filter(nodes, lambda n: (n["path"] == path) & (n["kind"] != "null") & ((n["kind"] != "text") | (F.trim(n["value"]) != "")))
+    return F.filter(nodes, lambda n: (n["path"] == path) & (n["no"] > 0))
 
 
-def below(nodes: Column, parent: Column) -> Column:
-    """Those of nodes that parent's interval contains."""
-    return F.filter(nodes, lambda n: (n["pre"] > parent["pre"]) & (n["post"] < parent["post"]))
+def values_by_owner(nodes: Column, path: str, text_only: bool = False) -> Column:
+    """Map from the label of a row to the first value of a type in it."""
+    firsts = F.filter(nodes, lambda n: (n["path"] == path) & (n["no"] == 1) & ((n["kind"] == "text") if text_only else F.lit(True)))
+    return F.map_from_entries(F.transform(firsts, lambda n: F.struct(n["owner"], n["value"])))
 
 
 def node_table(df: DataFrame, nodes: str, *keep: str) -> DataFrame:
@@ -247,67 +270,74 @@ def deliveries(raw: DataFrame, publications: DataFrame) -> DataFrame:
 def people_of_bibtex(publications: DataFrame) -> DataFrame:
     """publication_id, entry_no, person_no, role, name: authors before editors in each entry."""
     tree = publications.filter("bibtex IS NOT NULL").select(F.col("id").alias("publication_id"), bibtex_tree(F.col("bibtex")).alias("nodes"))
-    entries = tree.select("publication_id", "nodes", F.posexplode(of_type(F.col("nodes"), "entry")).alias("__i", "__e"))
-    named = entries.select(
-        "publication_id",
-        (F.col("__i") + 1).alias("entry_no"),
-        F.concat(below(of_type(F.col("nodes"), "entry.author.person"), F.col("__e")), below(of_type(F.col("nodes"), "entry.editor.person"), F.col("__e"))).alias("__people"),
-    )
-    return named.select("publication_id", "entry_no", F.posexplode("__people").alias("__i", "__p")).select(
-        "publication_id", "entry_no", (F.col("__i") + 1).alias("person_no"), F.split_part("__p.path", F.lit("."), F.lit(2)).alias("role"), F.col("__p.value").alias("name")
+    authors, editors = (of_type(F.col("nodes"), f"entry.{role}.person") for role in ("author", "editor"))
+    # Editors go on from the number of authors of their entry, its last author's.
+    counted = tree.select("publication_id", authors.alias("a"), editors.alias("e"))
+    last = F.filter(F.col("a"), lambda n, i: (i == F.size("a") - 1) | (F.try_element_at(F.col("a"), i + 2)["owner"] != n["owner"]))
+    counted = counted.select("publication_id", "a", "e", F.map_from_entries(F.transform(last, lambda n: F.struct(n["owner"], n["no"]))).alias("many"))
+    row = lambda n, role, no: F.struct(n["owner_no"].alias("entry_no"), no.alias("person_no"), F.lit(role).alias("role"), n["value"].alias("name"))
+    rows = F.concat(
+        F.transform("a", lambda n: row(n, "author", n["no"])),
+        F.transform("e", lambda n: row(n, "editor", n["no"] + F.coalesce(F.try_element_at(F.col("many"), n["owner"]), F.lit(0)))),
     )
+    return counted.select("publication_id", F.inline(rows))
 
 
 def people_of_payload(tree: DataFrame) -> DataFrame:
     """publication_id, person_no, name, pid and the node interval of each person of deliveries()."""
-    people = tree.select("publication_id", "nodes", F.posexplode(of_type(F.col("nodes"), PERSON)).alias("__i", "person"))
-    names = lambda field: below(of_type(F.col("nodes"), f"{PERSON}.{field}"), F.col("person"))
-    text = F.coalesce(F.try_element_at(names("name.text"), F.lit(1))["value"], F.try_element_at(F.filter(names("name"), lambda n: n["kind"] == "text"), F.lit(1))["value"])
-    return people.select(
-        "publication_id",
-        (F.col("__i") + 1).alias("person_no"),
-        F.coalesce(F.when(F.col("person.kind") == "text", F.col("person.value")), text).alias("name"),
-        F.try_element_at(names("name.pid"), F.lit(1))["value"].alias("pid"),
-        F.col("person.pre").alias("pre"),
-        F.col("person.post").alias("post"),
-        below(of_type(F.col("nodes"), AFFILIATION), F.col("person")).alias("affiliations"),
-        "nodes",
-    )
+    nodes = F.col("nodes")
+    inner = {"text": f"{PERSON}.name.text", "plain": f"{PERSON}.name", "pid": f"{PERSON}.name.pid"}
+    found = tree.select("publication_id", of_type(nodes, PERSON).alias("people"), *[values_by_owner(nodes, path, name == "plain").alias(name) for name, path in inner.items()])
+    of = lambda name, p: F.try_element_at(F.col(name), p["pre"])
+    rows = F.transform("people", lambda p: F.struct(
+        p["no"].alias("person_no"), F.when(p["kind"] == "text", p["value"]).otherwise(F.coalesce(of("text", p), of("plain", p))).alias("name"),
+        of("pid", p).alias("pid"), p["pre"].alias("pre"), p["post"].alias("post"),
+    ))
+    return found.select("publication_id", F.inline(rows))
 
 
 def affiliations_of_payload(tree: DataFrame) -> DataFrame:
-    """publication_id, person_no, affiliation_no, org, from_year; no row for a person without any."""
-    each = people_of_payload(tree).select("publication_id", "person_no", "nodes", F.posexplode("affiliations").alias("__i", "__a"))
-    part = lambda field: F.try_element_at(below(of_type(F.col("nodes"), f"{AFFILIATION}.{field}"), F.col("__a")), F.lit(1))["value"]
-    return each.select(
-        "publication_id",
-        "person_no",
-        (F.col("__i") + 1).alias("affiliation_no"),
-        F.coalesce(F.when(F.col("__a.kind") == "text", F.col("__a.value")), part("org")).alias("org"),
-        part("from").try_cast("int").alias("from_year"),
-        part("unit.name").alias("unit"),
-    )
+    """publication_id, person_no, affiliation_no, org, from_year, unit; no row for a person without any."""
+    nodes = F.col("nodes")
+    inner = {"org": "org", "from": "from", "unit": "unit.name"}
+    found = tree.select("publication_id", of_type(nodes, AFFILIATION).alias("all"), *[values_by_owner(nodes, f"{AFFILIATION}.{path}").alias(name) for name, path in inner.items()])
+    of = lambda name, a: F.try_element_at(F.col(name), a["pre"])
+    rows = F.transform("all", lambda a: F.struct(
+        a["owner_no"].alias("person_no"), a["no"].alias("affiliation_no"), F.when(a["kind"] == "text", a["value"]).otherwise(of("org", a)).alias("org"),
+        of("from", a).try_cast("int").alias("from_year"), of("unit", a).alias("unit"),
+    ))
+    return found.select("publication_id", F.inline(rows))
 
 
 def venues_of_payload(tree: DataFrame) -> DataFrame:
-    """publication_id, venue, series, volume: one row per delivery that names a venue, with its first volume."""
+    """publication_id, venue, series, volume: one row per delivery that names a venue, with its first volume; volumes_of_payload has all."""
     first = lambda path: F.try_element_at(of_type(F.col("nodes"), path), F.lit(1))["value"]
     plain = F.try_element_at(F.filter(of_type(F.col("nodes"), "record.venue"), lambda n: n["kind"] == "text"), F.lit(1))["value"]
     return tree.select(
         "publication_id",
         F.coalesce(plain, first("record.venue.name")).alias("venue"),
         first("record.venue.series.title").alias("series"),
-        first("record.venue.series.volumes.no").try_cast("int").alias("volume"),
+        first(f"{VOLUME}.no").try_cast("int").alias("volume"),
     ).filter("venue IS NOT NULL OR series IS NOT NULL OR volume IS NOT NULL")
 
 
+def volumes_of_payload(tree: DataFrame) -> DataFrame:
+    """publication_id, volume_no (its number in the series), no: every volume, tied to its venue through the publication."""
+    found = tree.select("publication_id", of_type(F.col("nodes"), VOLUME).alias("all"), values_by_owner(F.col("nodes"), f"{VOLUME}.no").alias("numbers"))
+    rows = F.transform("all", lambda v: F.struct(v["no"].alias("volume_no"), F.try_element_at(F.col("numbers"), v["pre"]).alias("no")))
+    return found.select("publication_id", F.inline(rows))
+
+
 def nested_people(publications: DataFrame, raw: DataFrame) -> DataFrame:
     """source, publication_id, parent_no, child_no over both sources."""
     pubs = publications.select("id", "dblp_key", "bibtex")
     bib = people_of_bibtex(pubs).select(F.lit("bibtex").alias("source"), "publication_id", F.col("entry_no").alias("parent_no"), F.col("person_no").alias("child_no"))
-    people = people_of_payload(deliveries(raw.select("ordinal", "key", "mdate", "payload"), pubs))
-    number = F.when(F.size("affiliations") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.size("affiliations")))
-    rows = people.select(F.lit("raw").alias("source"), "publication_id", F.col("person_no").alias("parent_no"), F.explode(number).alias("child_no"))
-    return bib.unionByName(rows)
-
-
+    tree = deliveries(raw.select("ordinal", "key", "mdate", "payload"), pubs)
+    both = tree.select(
+        "publication_id",
+        F.transform(of_type(F.col("nodes"), PERSON), lambda p: p["no"]).alias("people"),
+        F.transform(of_type(F.col("nodes"), AFFILIATION), lambda a: F.struct(a["owner_no"].alias("parent_no"), a["no"].alias("child_no"))).alias("affiliations"),
+    )
+    without = F.array_except("people", F.transform("affiliations", lambda a: a["parent_no"]))
+    rows = F.concat("affiliations", F.transform(without, lambda n: F.struct(n.alias("parent_no"), F.lit(0).alias("child_no"))))
+    return bib.unionByName(both.select(F.lit("raw").alias("source"), "publication_id", F.inline(rows)))

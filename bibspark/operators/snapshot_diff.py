@@ -8,8 +8,10 @@ over under a cancelled marker mean changed, and they name the changed fields.
 
 Versions of a key within a snapshot are reduced by a partial maximum before
 their shuffle, so a key delivered any number of times costs one row per task.
-After that a key has at most one row per snapshot; one exchange on the key
-serves both the cell sums and the classification.
+After that a key has at most one row per snapshot, and whole rows that equal those of
+the neighbouring snapshot cancel before they are unpivoted: only rows that
+changed, came or went become cells. One exchange on the key serves both the
+cell sums and the classification.
 
 Defined results: null and empty values are equal; rows with a null key or
 snapshot give no row; repeated rows count once; equal times are decided by the
@@ -42,19 +44,32 @@ def snapshot_steps(metadata: DataFrame, loads: DataFrame | None = None) -> DataF
 
 
 def _cells(rows: DataFrame, entity: str, key: str, fields: tuple[str, ...]) -> DataFrame:
-    """Unpivot rows with snapshot position into signed cells."""
+    """Unpivot rows with snapshot position into signed cells, but for rows equal to the one before or after, which cancel."""
     present = F.struct(F.lit("").alias("field"), F.lit("").alias("value"))
-    cells = [F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("")).alias("value")) for f in fields]
-    steps = F.array(
-        F.struct(F.col("position").alias("step"), F.lit(1).alias("sign")), F.struct((F.col("position") + 1).alias("step"), F.lit(-1).alias("sign"))
+    cells = [F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]
+    texts = [F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in fields]
+    along = Window.partitionBy("item_key").orderBy("position")
+    whole = F.struct("position", *fields)
+    beside = lambda row, by: (row["position"] == F.col("position") + by) & _all_equal(row, fields)
+    sided = rows.select(F.col(key).alias("item_key"), "position", *texts).select(
+        "item_key", "position", *fields, F.lag(whole).over(along).alias("__before"), F.lead(whole).over(along).alias("__after")
     )
+    came = F.when(~F.coalesce(beside(F.col("__before"), -1), F.lit(False)), F.struct(F.col("position").alias("step"), F.lit(1).alias("sign")))
+    went = F.when(~F.coalesce(beside(F.col("__after"), 1), F.lit(False)), F.struct((F.col("position") + 1).alias("step"), F.lit(-1).alias("sign")))
     return (
-        rows.select(F.lit(entity).alias("entity"), F.col(key).alias("item_key"), F.explode(steps).alias("__s"), F.array(present, *cells).alias("__c"))
+        sided.select(F.lit(entity).alias("entity"), "item_key", F.explode(F.array_compact(F.array(came, went))).alias("__s"), F.array(present, *cells).alias("__c"))
         .select("entity", "item_key", "__s.step", "__s.sign", F.explode("__c").alias("__c"))
         .select("entity", "item_key", "step", "sign", "__c.field", "__c.value")
     )
 
 
+def _all_equal(row: Column, fields: tuple[str, ...]) -> Column:
+    equal = F.lit(True)
+    for f in fields:
+        equal = equal & (row[f] == F.col(f))
+    return equal
+
+
 def latest_rows(rows: DataFrame, key: str, fields: tuple[str, ...], order: list[Column]) -> DataFrame:
     """One row per snapshot and key: the maximum by order, then by its values."""
     best = F.max(F.struct(*order, *[F.col(f) for f in fields])).alias("__r")

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bibspark.engine import Engine
 from bibspark.functions import bibtex, records, text, venues
 from bibspark.operators import complete, etl, grouping, index, lookup, nested, search, snapshot_diff
 from bibspark.plans.query import plan
-from bibspark.runtime import cut, table
+from bibspark.runtime import cut, ensure_checkpoint_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -47,6 +48,19 @@ def _engine(spark: SparkSession, d: str) -> Engine:
     return Engine.over(_pubs(spark, d), _authors(spark, d), table(spark, d, "links"))
 
 
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def _built(spark: SparkSession, d: str) -> Engine:
+    """Over an index built from the tables, once per application, in the shared folder for intermediate data."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _BUILT:
+        target = f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+        index.write_index(_pubs(spark, d), _authors(spark, d), target)
+        _BUILT[key] = target
+    return Engine.at(spark, _BUILT[key], table(spark, d, "links"))
+
+
 def _found(spark: SparkSession, d: str, **request) -> DataFrame:
     e = _engine(spark, d)
     return e.matches(plan(**request))
@@ -79,6 +93,11 @@ def p3_venues(spark, d):
     return nested.venues_of_payload(_tree(spark, d))
 
 
+@query
+def p3_volumes(spark, d):
+    return nested.volumes_of_payload(_tree(spark, d))
+
+
 @query
 def p3_linked(spark, d):
     """Affiliations tied to their person by interval containment of two node tables."""
@@ -109,6 +128,37 @@ def bm25_relevance(spark, d):
     return search.page(_found(spark, d, q=TEXT), spec).select("id", F.round("score", 6).alias("score"))
 
 
+@query
+def built_bm25_relevance(spark, d):
+    """The same over a built index."""
+    spec = plan(q=TEXT)
+    return search.page(_built(spark, d).matches(spec), spec).select("id", F.round("score", 6).alias("score"))
+
+
+@query
+def built_venue_or_alias(spark, d):
+    return _built(spark, d).matches(plan(venue=VENUE)).select("id", "venue", F.round("score", 6).alias("score"))
+
+
+@query
+def built_autocomplete_title(spark, d):
+    return _built(spark, d).autocomplete("lower bounds for spa", "title", 25)
+
+
+@query
+def built_autocomplete_author(spark, d):
+    return _built(spark, d).autocomplete(SUGGEST, "author", 25)
+
+
+@query
+def built_hit_versions(spark, d):
+    """The works of a page of hits, from the stored identities and titles."""
+    e, spec = _built(spark, d), plan(q=TEXT, limit=300)
+    hits = search.page(e.matches(spec), spec).limit(spec.limit)
+    hits = cut(hits.select("id", (F.row_number().over(Window.orderBy("score", "id")) - 1).alias("hit_rank")))
+    return grouping.group_hits(hits, e.works).select("hit_rank", "group_key", "best_id", "version_count")
+
+
 @query
 def bm25_all_scores(spark, d):
     return _found(spark, d, q=BROAD).select("id", F.round("score", 6).alias("score"))
@@ -244,8 +294,6 @@ def fuzzy_title_links(spark, d):
 
 
 def _ranked_hits(spark, d, **request):
-    from pyspark.sql import Window
-
     spec = plan(**request)
     hits = search.page(_found(spark, d, **request), spec).limit(spec.limit)
     return hits.select("id", (F.row_number().over(Window.orderBy(*search.order_of(spec))) - 1).alias("hit_rank")) if not spec.phrases else hits.select(
@@ -405,7 +453,12 @@ def bibtex_escape(spark, d):
 @query
 def etl_publications(spark, d):
     raw = table(spark, d, "bib_raw")
-    return etl.publications(raw).select("id", "dblp_key", "title", "authors", "year", "venue", "doi", "ee")
+    return etl.publications(raw).select("id", "dblp_key", "title", "authors", "year", "venue", "doi", "ee", "mdate")
+
+
+@query
+def etl_venue_aliases(spark, d):
+    return etl.publications(table(spark, d, "bib_raw")).select("id", "venue_aliases")
 
 
 @query

@@ -3,11 +3,59 @@
 from __future__ import annotations
 
 from bibspark.functions.bibtex import ESCAPES, FIELD_ORDER
-from bibspark.functions.records import CATEGORIES, DISPLAY_VENUES, PREPRINT_PREFIXES, PREPRINT_VENUES, PREPRINT_WORDS, RECORD_URL
+from bibspark.functions.records import CATEGORIES, DISPLAY_VENUES, PREPRINT_WORDS, RECORD_URL
 from bibspark.functions.venues import CURATED, ORGANIZATIONS, STOP_WORDS
 from bibspark.plans.query import SEARCH_WEIGHTS, TITLE_WEIGHTS, Phrase, plan
 from bibspark.queries import core
 
+# Fixed values, written out again so that a slip in the engine's own shows: what tells a preprint.
+PREPRINT_PREFIXES = ("journals/corr/", "journals/eccc/", "journals/iacr/", "journals/hal/", "journals/ssrn/", "journals/biorxiv/", "journals/medrxiv/")
+PREPRINT_VENUES = ("corr", "electron. colloquium comput. complex.", "iacr cryptol. eprint arch.", "arxiv", "ssrn", "biorxiv", "medrxiv", "hal", "openreview")
+
+# Nodes of the payload that counts per key, arrays left out: their document order, depth and the number of nodes below give the labels.
+NODES = r"""latest AS (SELECT key, payload FROM bib_raw WHERE key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY mdate DESC NULLS LAST, ordinal DESC) = 1),
+whole AS (SELECT p.id AS publication_id, CASE WHEN json_type(l.payload) = 'VARCHAR' THEN l.payload ->> '$' ELSE l.payload END AS payload
+  FROM (SELECT key, trim(payload, chr(65279) || ' ' || chr(9) || chr(10) || chr(13)) AS payload FROM latest) l JOIN publications p ON p.dblp_key = l.key WHERE json_valid(l.payload)),
+raw_nodes AS (SELECT publication_id, t.fullkey AS fk, t.type, t.id, json_extract_string(payload, t.fullkey) AS value FROM whole, LATERAL json_tree(payload) t WHERE t.type <> 'ARRAY'),
+nodes AS (SELECT *, replace(regexp_replace(fk, '\[[0-9]+\]', '', 'g'), '$.', '') AS path, row_number() OVER (PARTITION BY publication_id ORDER BY id) AS pre,
+  (SELECT count(*) FROM raw_nodes b WHERE b.publication_id = a.publication_id AND (starts_with(b.fk, a.fk || '.') OR starts_with(b.fk, a.fk || '['))) AS below,
+  (SELECT count(*) FROM raw_nodes b WHERE b.publication_id = a.publication_id AND (starts_with(a.fk, b.fk || '.') OR starts_with(a.fk, b.fk || '['))) AS depth FROM raw_nodes a),
+said AS (SELECT *, pre + below - depth AS post FROM nodes WHERE type <> 'NULL' AND (type <> 'VARCHAR' OR trim(value) <> '')),
+persons AS (SELECT *, row_number() OVER (PARTITION BY publication_id ORDER BY pre) AS person_no FROM said WHERE path = 'record.groups.members'),
+affs AS (SELECT a.*, p.person_no, p.pre AS parent_pre, row_number() OVER (PARTITION BY a.publication_id, p.pre ORDER BY a.pre) AS affiliation_no
+  FROM said a JOIN persons p ON p.publication_id = a.publication_id AND starts_with(a.fk, p.fk || '.') WHERE a.path = 'record.groups.members.affiliations')"""
+
+
+def first_below(above: str, path: str, text_only: bool = False) -> str:
+    """The first value of a type below a node, in document order."""
+    kind = " AND n.type = 'VARCHAR'" if text_only else ""
+    return f"(SELECT n.value FROM said n WHERE n.publication_id = {above}.publication_id AND starts_with(n.fk, {above}.fk || '.') AND n.path = '{path}'{kind} ORDER BY n.pre LIMIT 1)"
+
+
+def nested_sql() -> dict[str, str]:
+    person, venue = "record.groups.members", "record.venue"
+    first = lambda path, kind="": f"(SELECT n.value FROM said n WHERE n.publication_id = w.publication_id AND n.path = '{path}'{kind} ORDER BY n.pre LIMIT 1)"
+    out = {}
+    out["p3_people"] = (
+        f"WITH {NODES} SELECT publication_id, person_no, CASE WHEN type = 'VARCHAR' THEN value ELSE coalesce({first_below('p', person + '.name.text')}, {first_below('p', person + '.name', True)}) END AS name, "
+        f"{first_below('p', person + '.name.pid')} AS pid, pre, post FROM persons p"
+    )
+    out["p3_affiliations"] = (
+        f"WITH {NODES} SELECT publication_id, person_no, affiliation_no, CASE WHEN type = 'VARCHAR' THEN value ELSE {first_below('a', person + '.affiliations.org')} END AS org, "
+        f"try_cast({first_below('a', person + '.affiliations.from')} AS INTEGER) AS from_year, {first_below('a', person + '.affiliations.unit.name')} AS unit FROM affs a"
+    )
+    text = " AND n.type = 'VARCHAR'"
+    out["p3_venues"] = (
+        f"WITH {NODES}, v AS (SELECT publication_id, coalesce({first(venue, text)}, {first(venue + '.name')}) AS venue, {first(venue + '.series.title')} AS series, "
+        f"try_cast({first(venue + '.series.volumes.no')} AS INTEGER) AS volume FROM whole w) SELECT * FROM v WHERE venue IS NOT NULL OR series IS NOT NULL OR volume IS NOT NULL"
+    )
+    out["p3_volumes"] = (
+        f"WITH {NODES}, v AS (SELECT *, row_number() OVER (PARTITION BY publication_id ORDER BY pre) AS volume_no FROM said WHERE path = '{venue}.series.volumes') "
+        f"SELECT publication_id, volume_no, {first_below('v', venue + '.series.volumes.no')} AS no FROM v"
+    )
+    out["p3_linked"] = f"WITH {NODES} SELECT publication_id, parent_pre, pre, post FROM affs"
+    return out
+
 # Compatibility forms met in the tables: full-width letters, special blanks, the unbreakable hyphen.
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)).lower() + "\u00a0\u2007\u2009\u202f\u3000\u2011"
 _NARROW = "".join(chr(c) for c in range(0x21, 0x7F)).lower() + "     \u2010"
@@ -106,7 +154,7 @@ lab AS (SELECT *, {IDENTITY} AS identity, {kind()} AS k, {norm_title()} AS nt FR
 ranked AS (SELECT *, {TYPE_RANK.format(k='k')} AS r1, coalesce(doi, '') = '' AS r2, -coalesce(year, 0) AS r3, lower(dblp_key) AS r4 FROM lab)"""
 
 
-def aliases() -> str:
+def aliases(head: str = "WITH", source: str = "publications", name: str = "aliases") -> str:
     stop = listed(STOP_WORDS)
     ups = "(w = upper(w) AND regexp_matches(w, '[A-Z]'))"
 
@@ -117,10 +165,10 @@ def aliases() -> str:
         return f"CASE WHEN len({ws}) > 1 THEN array_to_string(list_transform({ws}, lambda w: CASE WHEN {ups} AND length(w) <= 8 THEN upper(w) ELSE upper(w[1]) END), '') END"
 
     curated = " ".join(f"WHEN {quoted(a)} THEN {quoted(b)}" for a, b in CURATED.items())
-    return f"""WITH t AS (SELECT id, venue, list_filter(regexp_extract_all(coalesce(venue, ''), '[A-Za-z][A-Za-z0-9]*'), lambda w: lower(w) NOT IN {stop}) AS ws FROM publications),
+    return f"""{head} t AS (SELECT id, venue, list_filter(regexp_extract_all(coalesce(venue, ''), '[A-Za-z][A-Za-z0-9]*'), lambda w: lower(w) NOT IN {stop}) AS ws FROM {source}),
 u AS (SELECT *, CASE WHEN len(ws) > 0 AND upper(ws[1]) IN {listed(ORGANIZATIONS)} THEN ws[2:] ELSE []::VARCHAR[] END AS rs FROM t)
 SELECT id, CASE WHEN len(ws) = 0 THEN '' ELSE array_to_string(list_sort(list_distinct(list_filter(list_concat(list_filter(ws, lambda w: {ups} AND length(w) BETWEEN 2 AND 12),
-[{initials('ws')}, {compact('ws')}, {initials('rs')}, {compact('rs')}, CASE lower(trim(coalesce(venue, ''))) {curated} END]), lambda w: w IS NOT NULL))), ' ') END AS aliases FROM u"""
+[{initials('ws')}, {compact('ws')}, {initials('rs')}, {compact('rs')}, CASE lower(trim(coalesce(venue, ''))) {curated} END]), lambda w: w IS NOT NULL))), ' ') END AS {name} FROM u"""
 
 
 def escaped(x: str) -> str:
@@ -184,7 +232,7 @@ diff AS (SELECT coalesce(b.entity, a.entity) AS entity, coalesce(b.item_key, a.i
 
 
 def oracle_sql() -> dict[str, str]:
-    out: dict[str, str] = {}
+    out: dict[str, str] = nested_sql()
     text, broad = plan(q=core.TEXT).phrases, plan(q=core.BROAD).phrases
     p = "publications"
     out["bm25_relevance"] = f"{scored(text)} SELECT id, round(score, 6) AS score FROM hits ORDER BY hits.score, id LIMIT 21"
@@ -249,6 +297,7 @@ def oracle_sql() -> dict[str, str]:
     out["autocomplete_title"] = (
         f"{scored(plan(q='lower bounds for spa').phrases, TITLE_WEIGHTS)} SELECT p.dblp_key, p.title, p.year FROM hits h JOIN {p} p ON p.id = h.id WHERE p.title <> '' ORDER BY h.score, p.id LIMIT 25"
     )
+    out |= {f"built_{name}": out[name] for name in ("bm25_relevance", "venue_or_alias", "autocomplete_title", "autocomplete_author")}
     out["closest_candidates"] = closest_sql()
     out["key_lookup_missing"] = f"WITH {KEYS} SELECT ord, c.dblp_key, p.id IS NOT NULL AS found, title, {quoted(RECORD_URL)} || p.dblp_key AS url, CASE WHEN p.id IS NOT NULL THEN {kind().replace('dblp_key', 'p.dblp_key')} END AS reference_type FROM cart c LEFT JOIN {p} p ON p.dblp_key = c.dblp_key"
     out["bibliography"] = f"WITH {KEYS} SELECT ord, 'DBLP:' || c.dblp_key AS key, bibtex FROM cart c LEFT JOIN {p} p ON p.dblp_key = c.dblp_key"
@@ -260,8 +309,9 @@ def oracle_sql() -> dict[str, str]:
         f"WITH {ETL} SELECT ordinal AS id, key AS dblp_key, title, array_to_string(list_transform(people, lambda p: p.text), ', ') AS authors, "
         f"CASE WHEN regexp_full_match({raw('year')}, '[0-9]{{4}}') THEN {raw('year')}::INT END AS year, "
         "CASE WHEN searchable <> '' THEN searchable WHEN school <> '' THEN school WHEN tag = 'data' THEN stand_in ELSE '' END AS venue, "
-        f"coalesce(list_filter({raw_all('ee')}, lambda x: contains(x.text, 'doi.org/'))[1].text, '') AS doi, ee FROM s"
+        f"coalesce(list_filter({raw_all('ee')}, lambda x: contains(x.text, 'doi.org/'))[1].text, '') AS doi, ee, mdate FROM s"
     )
+    out["etl_venue_aliases"] = aliases(f"WITH {ETL}, src AS (SELECT ordinal AS id, searchable AS venue FROM s),", "src", "venue_aliases")
     out["etl_bibtex"] = entry_sql()
     out["duplicate_keys"] = "SELECT key AS dblp_key, count(*) AS n FROM bib_raw GROUP BY key HAVING count(*) > 1"
     changed = "FROM diff JOIN steps USING (pos) WHERE pos > 1"

@@ -8,7 +8,6 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 _SHIPPED: set[str] = set()
@@ -38,14 +37,16 @@ def conf(spark: SparkSession, key: str, default: str | None = None) -> str | Non
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir. Only where
-    neither that setting nor a checkpoint folder exists (tests, one machine),
-    a temporary one is set."""
+    """The shared folder the cluster names in spark.checkpoint.dir. Only on one machine
+    where neither that setting nor a checkpoint folder exists (tests), a temporary
+    one is set; a cluster without either is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = sc.getConf().get("spark.checkpoint.dir", None) or conf(spark, "spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "bibspark-checkpoints"))
     return sc.getCheckpointDir()
 
@@ -55,14 +56,3 @@ def cut(df: DataFrame) -> DataFrame:
     so that a lost executor costs a re-read, not a re-run."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def cores(spark: SparkSession) -> int:
-    return max(1, spark.sparkContext.defaultParallelism)
-
-
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Deal rows evenly over the cores ahead of expensive per-row work. A scan
-    of a few small files otherwise leaves most cores idle."""
-    n = max(cores(df.sparkSession) * 2, df.sparkSession._jsparkSession.sessionState().conf().numShufflePartitions())
-    return df.repartition(n, *[F.col(c) for c in cols])

@@ -14,24 +14,34 @@ def author_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("name_norm").agg(F.min("name").alias("name"), F.count("*").alias("publications"))
 
 
+def batches_below(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the batches written below a folder of any file system Spark reads; none if it is not there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+    return sorted(int(name.removeprefix("batch=")) for name in found if name.startswith("batch="))
+
+
 def ingest(spark: SparkSession, landing: str, schema, target: str, checkpoint: str) -> StreamingQuery:
-    """Append publications that land as Parquet files, each key once, and write the author table anew per batch.
+    """Append publications that land as Parquet files, each key once, and bring the author table up to date.
 
     A batch is written below its own number, and rewriting a batch after a failure
-    replaces what it wrote before, so every record is taken exactly once."""
+    replaces what it wrote before, so every record is taken exactly once. Of the batches before
+    only the keys are read; the author counts of the one before are added to those of the new records."""
     spark_stream = spark.readStream.schema(schema).parquet(landing)
 
     def take(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        try:
-            old = session.read.option("recursiveFileLookup", "true").parquet(f"{target}/publications").filter(~F.col("_metadata.file_path").contains(f"/batch={number}/"))
-            fresh = batch.join(old.select("dblp_key"), "dblp_key", "left_anti").dropDuplicates(["dblp_key"]).select(*batch.columns)
-        except Exception as missing:  # the first batch finds no table yet
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            fresh = batch.dropDuplicates(["dblp_key"])
+        earlier = [k for k in batches_below(session, f"{target}/publications") if k < number]
+        fresh = batch.dropDuplicates(["dblp_key"])
+        if earlier:
+            known = session.read.parquet(*[f"{target}/publications/batch={k}" for k in earlier]).select("dblp_key")
+            fresh = fresh.join(known, "dblp_key", "left_anti").select(*batch.columns)
         fresh.write.mode("overwrite").parquet(f"{target}/publications/batch={number}")
-        pubs = session.read.option("recursiveFileLookup", "true").parquet(f"{target}/publications")
-        index.author_names(etl.publication_authors(pubs)).write.mode("overwrite").parquet(f"{target}/author_names/batch={number}")
+        people = etl.publication_authors(session.read.parquet(f"{target}/publications/batch={number}"))
+        names = index.author_names(people)
+        if earlier:
+            names = index.merge_author_names(session.read.parquet(f"{target}/author_names/batch={earlier[-1]}"), people)
+        names.write.mode("overwrite").parquet(f"{target}/author_names/batch={number}")
 
     return spark_stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

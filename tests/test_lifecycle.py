@@ -7,9 +7,13 @@ from datetime import UTC, datetime
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from bibspark import refresh, rules
+from bibspark.__main__ import main
 from bibspark.engine import Engine
-from bibspark.operators import etl
+from bibspark.functions import records
+from bibspark.operators import complete, etl, index
 from bibspark.sources.bibxml import parse
 from bibspark.streaming import landing
 
@@ -86,8 +90,15 @@ def test_refresh_cycle(spark, archive, tmp_path):
     raw = refresh.read_archive(spark, archive)
     refresh.build(spark, raw.filter("tag <> 'data'"), root, {"source_sha256": meta["source_sha256"]})
     refresh.save_state(refresh.read_metadata(root) | {"schema_version": "2"}, old / "metadata.json")
+    kept = {f.name: f.read_bytes() for f in (old / "postings").glob("*.parquet")}
     assert go(data) and refresh.read_metadata(root)["records"] == "6" and refresh.read_metadata(root)["schema_version"] == "3"
     merged = Engine.open(spark, root)
+    now = {f.name: f.read_bytes() for f in (refresh.current_version(root) / "postings").glob("*.parquet")}
+    assert kept.items() < now.items(), "files of the version before stay as they are"
+    fresh = Engine.over(merged.publications, merged.authors)
+    for name in ("names", "suffixes", "folded", "corpus", "postings"):
+        a, b = getattr(merged, name), getattr(fresh, name)
+        assert sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(b.columns)).collect())), name
     assert merged.publications.count() == 6 and merged.publications.select("id").distinct().count() == 6
     with pytest.raises(ValueError):
         refresh.merge(spark, raw, root)
@@ -97,9 +108,9 @@ def test_refresh_cycle(spark, archive, tmp_path):
 
 
 def test_schedule_and_state(tmp_path):
-    assert refresh.following_month(2025, 12) == (2026, 1) and refresh.following_month(2025, 11) == (2025, 12)
-    drawn = iter([2, 3 * 3600 - 1])
-    assert refresh.draw_update(2026, 5, UTC, lambda n: next(drawn)) == datetime(2026, 5, 3, 3, 59, 59, tzinfo=UTC)
+    at = datetime(2026, 12, 31, 23, 5, tzinfo=UTC)
+    assert refresh.next_slot(at, lambda n: n - 1) == datetime(2027, 1, 3, 3, 59, 59, tzinfo=UTC) and refresh.next_slot(at, lambda n: 0) == datetime(2027, 1, 1, 1, tzinfo=UTC)
+    assert refresh.next_slot(datetime(2026, 1, 31, tzinfo=UTC), lambda n: 3 * 3600) == datetime(2026, 2, 2, 1, tzinfo=UTC)
     assert refresh.source_url("a/{year}/{month}/{date}", datetime(2026, 4, 9)) == "a/2026/04/2026-04-01"
     state = refresh.settled(datetime(2026, 12, 31, 23, tzinfo=UTC), UTC)
     assert state["last_success_month"] == "2026-12" and state["next_update_at"].startswith("2027-01-0")
@@ -117,12 +128,68 @@ def test_rules(spark, tmp_path):
     for bad in ([], {"groups": {}}, {"groups": [{"keys": ["a"]}]}, {"groups": [{"keys": ["a", "a"]}]}, {"groups": [{"keys": ["a", "b"]}, {"keys": ["b", "c"]}]}, {"groups": [{"keys": ["a", ""]}]}, {"groups": [{"keys": ["a", "b"], "note": 1}]}, {"groups": [], "x": 1}):
         with pytest.raises(ValueError):
             rules.checked_links(bad)
-    rules.checked_overrides(rules.DEFAULT_OVERRIDES)
     for bad in ({}, {"venues": [], "key_prefixes": {}}, {"venues": {"": {"label": "x"}}, "key_prefixes": {}}, {"venues": {"v": {}}, "key_prefixes": {}}, {"venues": {"v": {"preprint": 1}}, "key_prefixes": {}}, {"venues": {"v": {"label": ""}}, "key_prefixes": {}}):
         with pytest.raises(ValueError):
             rules.checked_overrides(bad)
 
 
+def test_rules_take_effect(spark, archive, tmp_path):
+    file = tmp_path / "rules.json"
+    file.write_text(json.dumps({"venues": {"ACM Comput. Surv.": {"label": "Surveys", "preprint": True}, "Openshelf": {"label": "OS"}}, "key_prefixes": {"phd/": {"label": "Theses"}}}))
+    mine = rules.load_rules(file)
+    pubs = etl.publications(refresh.read_archive(spark, archive))
+    kinds = lambda r: {x["dblp_key"]: x["k"] for x in pubs.select("dblp_key", records.reference_type(F.col("record_type"), F.col("venue"), F.col("dblp_key"), r).alias("k")).collect()}
+    assert kinds(records.STANDARD)["journals/x/1"] == "journal" and kinds(mine)["journals/x/1"] == "preprint" and kinds(mine)["phd/1"] == "monograph"
+    shown = {x["dblp_key"]: x["v"] for x in pubs.select("dblp_key", records.display_venue(F.col("venue"), F.col("dblp_key"), mine).alias("v")).collect()}
+    assert shown["journals/x/1"] == "Surveys" and shown["data/1"] == "OS" and shown["phd/1"] == "Theses" and shown["conf/p/1"] == "Proc. of Odd Things"
+    engine = Engine.over(pubs, etl.publication_authors(pubs), rules=mine)
+    assert [r["reference_type"] for r in engine.search(q="ice").hits.collect()] == ["preprint"] and engine.search(q="ice", category="informal").hits.count() == 1
+
+
+def test_files_have_ids_of_their_own(spark, archive, tmp_path):
+    for n, name in enumerate(("a.xml", "b.xml.gz")):
+        text = XML.replace(b'key="', b'key="%d/' % n).replace(b'key="%d/"' % n, b'key=""').replace(b"Bea Ng", b"Bea Ng%d" % n)
+        (tmp_path / name).write_bytes(gzip.compress(text) if name.endswith("gz") else text)
+    raw = refresh.read_archive(spark, tmp_path)
+    pubs = etl.publications(raw).cache()
+    assert pubs.count() == 12 == pubs.select("id").distinct().count()
+    assert [r["key"][0] for r in refresh.read_archive(spark, tmp_path, limit=8).orderBy("ordinal").collect()] == ["0"] * 6 + ["1"] * 2
+    named = etl.publication_authors(pubs).join(pubs.selectExpr("id AS publication_id", "dblp_key"), "publication_id").filter("name LIKE 'Bea%'").collect()
+    assert len(named) == 4 and all(r["dblp_key"][0] == r["name"][-1] for r in named)
+
+
+def test_commands(spark, archive, tmp_path):
+    root, out = tmp_path / "index", io.StringIO()
+    assert main(["build", str(archive), "--root", str(root)], spark, out) == 0
+    first = refresh.current_version(root)
+    meta = refresh.read_metadata(root)
+    assert meta["source"] == "bib.xml.gz" and meta["source_size"] == str(archive.stat().st_size) and meta["source_mtime_ns"] == str(archive.stat().st_mtime_ns)
+    assert main(["build", str(archive), "--root", str(root)], spark, out) == 0 and refresh.current_version(root) == first  # same size and time: kept
+    assert main(["build", str(archive), "--root", str(root), "--force"], spark, out) == 0 and refresh.current_version(root) != first
+    out.truncate(0)
+    assert main(["search", "--root", str(root), "--q", "ice"], spark, out) == 0 and '"journals/x/1"' in out.getvalue()
+    assert main(["merge", str(archive), "--root", str(root)], spark, out) == 1 and main(["build", "--root", str(root)], spark, out) == 2
+    assert main(["status", "--root", str(root)], spark, out) == 0 and {p.name for p in refresh.current_version(root).iterdir()} >= {"title_grams", "corpus_stats", "postings"}
+
+
+def test_rounds_until_ready(spark, archive, tmp_path):
+    naps, replies = [], iter([b"no gzip", archive.read_bytes()])
+    rounds = refresh.Rounds(spark, tmp_path / "index", tmp_path / "state.json", "https://x.example/{date}", UTC, 10, lambda *a, **k: Reply(next(replies)))
+    rounds.work(naps.append, rounds=2)
+    assert naps == [refresh.RETRY_SECONDS] and rounds.state["phase"] == "idle" and refresh.current_version(tmp_path / "index")
+    later = refresh.Rounds(spark, tmp_path / "index", tmp_path / "state.json", "https://x.example/{date}", UTC, 10, lambda *a, **k: Reply(archive.read_bytes()))
+    later.state["next_update_at"] = "2020-01-01T00:00:00+00:00"
+    refresh.save_state(later.state, tmp_path / "state.json")
+    later.work(naps.append, rounds=1)
+    assert len(naps) == 1 and refresh.due_at(later.state) > datetime.now(UTC)
+
+
+def test_closest_without_cap(spark, archive):
+    pubs = etl.publications(refresh.read_archive(spark, archive))
+    posts = index.postings(pubs)
+    assert complete.closest_candidates(posts, "on ice", cap=None).count() == 1 == complete.closest(pubs, posts, "on ice", cap=None).count()
+
+
 def test_stream_takes_every_record_once(spark, archive, tmp_path):
     pubs = etl.publications(refresh.read_archive(spark, archive))
     drop, target, mark = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")
