@@ -14,8 +14,9 @@ PREPRINT_VENUES = ("corr", "electron. colloquium comput. complex.", "iacr crypto
 
 # Nodes of the payload that counts per key, arrays left out: their document order, depth and the number of nodes below give the labels.
 NODES = r"""latest AS (SELECT key, payload FROM bib_raw WHERE key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY mdate DESC NULLS LAST, ordinal DESC) = 1),
-whole AS (SELECT p.id AS publication_id, CASE WHEN json_type(l.payload) = 'VARCHAR' THEN l.payload ->> '$' ELSE l.payload END AS payload
-  FROM (SELECT key, trim(payload, chr(65279) || ' ' || chr(9) || chr(10) || chr(13)) AS payload FROM latest) l JOIN publications p ON p.dblp_key = l.key WHERE json_valid(l.payload)),
+whole AS (SELECT publication_id, CASE WHEN json_type(payload, '$.record') = 'VARCHAR' AND json_valid(payload ->> '$.record') THEN '{"record": ' || (payload ->> '$.record') || '}' ELSE payload END AS payload FROM (
+  SELECT p.id AS publication_id, CASE WHEN json_type(l.payload) = 'VARCHAR' THEN l.payload ->> '$' ELSE l.payload END AS payload
+  FROM (SELECT key, trim(payload, chr(65279) || ' ' || chr(9) || chr(10) || chr(13)) AS payload FROM latest) l JOIN publications p ON p.dblp_key = l.key WHERE json_valid(l.payload))),
 raw_nodes AS (SELECT publication_id, t.fullkey AS fk, t.type, t.id, json_extract_string(payload, t.fullkey) AS value FROM whole, LATERAL json_tree(payload) t WHERE t.type <> 'ARRAY'),
 nodes AS (SELECT *, replace(regexp_replace(fk, '\[[0-9]+\]', '', 'g'), '$.', '') AS path, row_number() OVER (PARTITION BY publication_id ORDER BY id) AS pre,
   (SELECT count(*) FROM raw_nodes b WHERE b.publication_id = a.publication_id AND (starts_with(b.fk, a.fk || '.') OR starts_with(b.fk, a.fk || '['))) AS below,
