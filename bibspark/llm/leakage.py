@@ -136,14 +136,18 @@ class LeakIndex:
         return found
 
     def passages(self, text: str) -> list[tuple[int, int]]:
-        """Start and end in the text of what it holds of items, from the first to the last word of each that is in order."""
+        """Start and end in the text of what it holds of items: from the first to the last n-gram of each, and the item's words next to these."""
         tokens = [(m.start(), m.end(), w) for m in _TOKEN.finditer(text) for w in plain_words(m.group())]
         words = [self.known(w) for *_, w in tokens]
         spans = []
         for at, first, last, share, telling in self.found(words):
             if telling >= self.min_share - self.slack:
-                inside = [k for k in range(first, last) if words[k] in self.items[at].masks]
-                spans.append((tokens[inside[0]][0], tokens[inside[-1]][1]))
+                own = self.items[at].masks
+                while first and words[first - 1] in own:
+                    first -= 1
+                while last < len(words) and words[last] in own:
+                    last += 1
+                spans.append((tokens[first][0], tokens[last - 1][1]))
         return sorted(spans)
 
     def scores(self, text: str) -> list[tuple[int, float, float]]:
@@ -151,7 +155,7 @@ class LeakIndex:
         return [(self.items[at].item_id, share, telling) for at, _, _, share, telling in self.found([self.known(w) for w in plain_words(text)])]
 
     def found(self, words: list[str]) -> list[tuple[int, int, int, float, float]]:
-        """Item, first and last place around its hits, share of its words and of its telling words, where the share is enough."""
+        """Item, where its first hit begins and its last one ends, share of its words and of its telling words, where the share is enough."""
         first: dict[int, int] = {}
         last: dict[int, int] = {}
         for n in range(self.short, self.gram + 1):
@@ -163,12 +167,11 @@ class LeakIndex:
         for at in sorted(first):
             item = self.items[at]
             # Only words near the hits count: scattered function words elsewhere are no passage.
-            begin, end = max(0, first[at] - item.size // 2), min(len(words), last[at] + item.size // 2)
-            region = words[begin:end]
+            region = words[max(0, first[at] - item.size // 2) : last[at] + item.size // 2]
             share = common_length(item.masks, item.size, region) / item.size
             if share >= self.min_share:
                 telling = common_length(item.rare_masks, item.rare_size, region) / item.rare_size if item.rare_size else share
-                out.append((at, begin, end, share, telling))
+                out.append((at, first[at], last[at], share, telling))
         return out
 
     def matches(self, text: str) -> list[tuple[int, float]]:
@@ -240,7 +243,8 @@ def without_leaking_documents(documents: DataFrame, items: DataFrame, min_share:
 def without_leaking_passages(documents: DataFrame, items: DataFrame, min_share: float = 0.5, max_index_words: int = MAX_INDEX_WORDS) -> DataFrame:
     """doc_id, text and removed (characters): every document, the passages of the items it holds cut out of its text.
 
-    Only documents that hold items meet these: each comes with the texts of its own."""
+    Only documents that hold items meet these: each comes with the texts of its own, whose hits are then looked for word by
+    word of the text as it stands."""
     named = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = leaks(documents, items, min_share, max_index_words).join(item_texts(items), "item_id")
     held = held.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("item_id", "text"))).alias("held"))
@@ -250,7 +254,7 @@ def without_leaking_passages(documents: DataFrame, items: DataFrame, min_share:
             rows = []
             for d, text, own in zip(batch["doc_id"], batch["text"], batch["held"]):
                 kept, at = [], 0
-                for start, end in LeakIndex([(i["item_id"], i["text"]) for i in own], min_share=min_share, rare_share=1.0).passages(text):
+                for start, end in LeakIndex([(i["item_id"], i["text"]) for i in own], min_share=0.0, rare_share=1.0).passages(text):
                     if end > at:
                         kept.append(text[at : max(at, start)])
                         at = end

@@ -59,12 +59,17 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("item_id", "doc_id")
 
 
+def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Every post, the passages of test items cut out."""
+    return leakage.without_leaking_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_posts(table(spark, d, "documents")).select("doc_id").distinct()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_entities, p2_found, p4_found, p4_groups, p5_found, p5_name_groups, p5_title_groups, p7_ids, p8_found, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_entities, p2_found, p4_found, p4_groups, p5_found, p5_name_groups, p5_title_groups, p7_ids, p8_found, p8_cleaned, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
